@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlake.llm import minhash_dedup, packing, sentencepiece_codec, substring_dedup
+from medlake.llm import language_id, minhash_dedup, packing, sentencepiece_codec, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.train(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
 
@@ -41,6 +47,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_language_id": op3_language_id,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_substring_dedup": op6_substring_dedup,
         "op9_packing": op9_packing,
