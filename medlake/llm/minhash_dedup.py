@@ -5,14 +5,14 @@
 2. Texts with equal sets form a class; only its smallest id goes on, so a group of exact
    copies costs one row however large it is.
 3. 32 bands of 5 register values are candidate keys.  Every class is paired with the
-   smallest class under each of its keys (a star, linear in the rows of a key).
-4. Pairs whose likelihood estimate from the registers is at least four standard errors
-   below the threshold go; the others are verified on their full sets.
-5. Components of the verified links leave keys that still hold two or more components.
-   There, all pairs between different components are compared on their registers, in
-   square blocks of bounded size, and what passes is verified too.  Thus each candidate
-   pair is either verified, ruled out by its registers, or already connected, and no
-   group is ever expanded into all its pairs.
+   smallest class under each of its keys, its hubs (stars, linear in the rows of a key).
+4. Pairs whose likelihood estimate from the registers is over four standard errors below
+   the threshold go; the others are verified on their full sets.
+5. Classes that share a key share a hub.  In each hub's group, rows of different
+   components of the verified links are compared on their registers, in square blocks of
+   bounded size; the rows that have a likely partner are compared again on full sets, by
+   an inverted index for each pair of blocks.  What leaves a block is at most one row for
+   each member, then one link for a row and component: no group is expanded into pairs.
 
 Two sets of similarity 0.8 share no key with probability (1 - 0.8^5)^32 = 3e-6.
 """
@@ -33,7 +33,7 @@ from medlake.llm.components import connected_components
 from medlake.llm.words import U, mix, split_words, string_bytes, text_slices, window_starts, window_hash
 from medlake.plans.shared import discard, materialize
 
-BLOCK = 1024
+BLOCK_ROWS, BLOCK_BYTES = 4096, 32 << 20
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +133,10 @@ def _shingle_tables(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str,
     return packed.join(ids, "id", "left_semi").mapInArrow(sets, "id long, shingles binary")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
+
 def _verify(pairs: DataFrame, tables: DataFrame, percent: int) -> DataFrame:
     full = pairs.join(tables.toDF("a", "sa"), "a").join(tables.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
 
@@ -149,49 +153,103 @@ def _verify(pairs: DataFrame, tables: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(work, "a long, b long")
 
 
-def _residual(bands: DataFrame, keys: DataFrame, comp: DataFrame, reps: DataFrame, cut: float) -> DataFrame:
-    """Likely pairs of different components under one key, compared in square blocks."""
-    member = bands.join(keys.select("key"), "key").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_keys = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    rows = member.join(open_keys.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "key")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks"))).join(reps.select("id", "n_shingles", "regs"), "id")
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows with equal values in the first ``keys`` columns; rows come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = np.stack([batch.column(i).to_numpy() for i in range(keys)], 1)
+        cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1), len(ids)]
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            if held and tuple(ids[s]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(ids[s])
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _blocks(rows: DataFrame, weight: str, limit: int, payload: list[str]) -> DataFrame:
+    """Rows of each hub's group dealt to blocks of about ``limit`` weight, once for each pair of blocks."""
+    total = rows.groupBy("hub").agg(F.sum(weight).alias("w"), F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    total = total.where("n > 2 and lo <> hi").select("hub", F.ceil(F.col("w") / limit).alias("blocks"))
+    rows = rows.join(total, "hub").withColumn("block", F.pmod(F.xxhash64("id", "hub"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "id", "component", "n_shingles", "regs")
-    rows = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    return rows.select("hub", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "id", "component", *payload)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("hub", "bi", "bj").sortWithinPartitions("hub", "bi", "bj")
+
+
+def _partners(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row outside the group's most frequent component, the rows to compare it with."""
+    bi, bj, block, ids, comp = (t.column(c).to_numpy() for c in ("bi", "bj", "block", "id", "component"))
+    _, back, size = np.unique(comp, return_inverse=True, return_counts=True)
+    main = back == size.argmax()
+    for i in np.flatnonzero(~main):
+        o = np.flatnonzero((comp != comp[i]) & (main | (ids > ids[i])) & ((block != block[i]) | (bi[0] == bj[0])))
+        if len(o):
+            yield i, o
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            ids = np.stack([batch.column(i).to_numpy() for i in range(3)], 1) if batch.num_rows else np.zeros((0, 3))
-            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1), len(ids)]
-            for s, e in zip(cuts[:-1], cuts[1:]):
-                if e > s:
-                    if last is not None and tuple(ids[s]) != last:
-                        yield pa.Table.from_batches(held)
-                        held = []
-                    last = tuple(ids[s])
-                    held.append(batch.slice(s, e - s))
-        if held:
-            yield pa.Table.from_batches(held)
+
+def _open_rows(groups: DataFrame, reps: DataFrame, comp: DataFrame, cut: float) -> DataFrame:
+    """(hub, id) rows that have a likely partner of another component in their hub's group."""
+    rows = groups.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")).withColumn("one", F.lit(1))
+    rows = _dealt(_blocks(rows, "one", BLOCK_ROWS, []).join(reps.select("id", "n_shingles", "regs"), "id").select("hub", "bi", "bj", "block", "id", "component", "n_shingles", "regs"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches):
-            bi, bj, block, ids, comp_, n = (t.column(c).to_numpy() for c in ("bi", "bj", "block", "id", "component", "n_shingles"))
+        for t in _groups(batches, 3):
+            ids, n = t.column("id").to_numpy(), t.column("n_shingles").to_numpy().astype(float)
             regs = _registers(t.column("regs").combine_chunks())
-            left = np.flatnonzero(block == bi)
-            right = np.flatnonzero(block == bj)
-            for i in left:
-                o = right[(comp_[right] != comp_[i]) & ((ids[right] > ids[i]) | (bi[0] != bj[0]))]
-                if len(o):
-                    lo, hi = np.minimum(n[o], n[i]), np.maximum(n[o], n[i])
-                    o = o[(lo >= cut * hi) & ((regs[o] == regs[i]).sum(1) >= ss.M * cut * 0.6)]
+            needed = np.zeros(len(ids), bool)
+            for i, o in _partners(t):
+                o = o[np.minimum(n[o], n[i]) >= cut * np.maximum(n[o], n[i])]
+                o = o[(regs[o] == regs[i]).sum(1) >= ss.M * cut * 0.8]
+                if needed[i]:
+                    o = o[~needed[o]]
                 if len(o):
-                    est = ss.joint_jaccard(np.repeat(regs[i : i + 1], len(o), 0), regs[o], np.full(len(o), float(n[i])), n[o].astype(float))
-                    o = o[est >= cut]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[o], ids[i])), pa.array(np.maximum(ids[o], ids[i]))], names=["a", "b"])
+                    o = o[ss.joint_jaccard(np.repeat(regs[i : i + 1], len(o), 0), regs[o], np.full(len(o), n[i]), n[o]) >= cut]
+                    needed[o] = True
+                    needed[i] |= len(o) > 0
+            if needed.any():
+                yield pa.RecordBatch.from_arrays([t.column("hub").combine_chunks().filter(pa.array(needed)), pa.array(ids[needed])], names=["hub", "id"])
 
-    return rows.mapInArrow(work, "a long, b long").distinct()
+    return rows.mapInArrow(work, "hub long, id long").distinct()
+
+
+def _open_links(rows: DataFrame, tables: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components in each hub's group, on full sets; one for a row and component."""
+    full = rows.join(tables, "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")).withColumn("w", F.octet_length("shingles"))
+    dealt = _dealt(_blocks(full, "w", BLOCK_BYTES, ["shingles"]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, 3):
+            ids, comp_ = t.column("id").to_numpy(), t.column("component").to_numpy()
+            sets = [np.frombuffer(x.as_buffer(), U) for x in t.column("shingles").combine_chunks()]
+            n = np.array([len(x) for x in sets])
+            values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+            order = np.argsort(values, kind="stable")
+            known, first = np.unique(values[order], return_index=True)
+            owner, first = owner[order], np.append(first, len(values))
+            a: list[int] = []
+            b: list[int] = []
+            for i, o in _partners(t):
+                at = np.searchsorted(known, sets[i])
+                size = first[at + 1] - first[at]
+                hit = owner[np.repeat(first[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                both = np.bincount(hit, minlength=len(sets))[o]
+                o = o[(both > 0) & (100 * both >= percent * (n[o] + n[i] - both))]
+                o = o[np.unique(comp_[o], return_index=True)[1]]
+                a += [ids[i]] * len(o)
+                b += ids[o].tolist()
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,24 +269,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     reps = materialize(sk.where("n_shingles > 0 and id is not null").select("id", "n_shingles", "regs").join(copies.where("id <> rep"), "id", "left_anti"), "reps")
 
     bands = reps.select("id", F.explode(_band_keys(F.col("regs"))).alias("key"))
-    keys = materialize(bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "keys")
-    star = bands.join(keys.drop("n"), "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    star = materialize(_likely(star, reps, cut), "star")
-    ids = star.select(F.col("a").alias("id")).union(star.select("b")).distinct()
-    tables = materialize(_shingle_tables(docs, ids, id_col, text_col, shingle), "sets")
-    links = materialize(_verify(star, tables, percent), "links")
+    keys = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    star = materialize(bands.join(keys, "key").where("id <> hub").select("hub", "id").distinct(), "star")
+    likely = materialize(_likely(star.toDF("a", "b"), reps, cut), "likely")
+    tables = materialize(_shingle_tables(docs, _ends(likely), id_col, text_col, shingle), "sets")
+    links = materialize(_verify(likely, tables, percent), "links")
     comp = connected_components(links)
-    more = materialize(_residual(bands, keys, comp, reps, cut).join(star, ["a", "b"], "left_anti"), "more")
-    discard(keys)
+
+    groups = star.union(star.select("hub", F.col("hub").alias("id")).distinct())
+    rows = materialize(_open_rows(groups, reps, comp, cut), "open")
+    lacking = rows.select("id").distinct().join(tables, "id", "left_anti")
+    rest = materialize(_shingle_tables(docs, lacking, id_col, text_col, shingle), "sets")
+    more = materialize(_open_links(rows, tables.union(rest), comp, percent), "links")
     if not more.isEmpty():
-        ids = more.select(F.col("a").alias("id")).union(more.select("b")).distinct()
-        lacking = ids.join(tables, "id", "left_anti")
-        rest = materialize(_shingle_tables(docs, lacking, id_col, text_col, shingle), "sets")
-        extra = _verify(more, tables.union(rest), percent)
-        links = materialize(links.union(extra), "links")
-        discard(rest)
-        comp = connected_components(links)
-    discard(tables, star, more)
+        comp = connected_components(links.union(more))
+    discard(star, likely, tables, rest)
 
     full = sk.select("id", "n_shingles").join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     full = full.join(comp.toDF("rep", "component"), "rep", "left")
