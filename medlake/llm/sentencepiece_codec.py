@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-MEMO = 1_000_000
+#: Units in the younger of two generations of the memo; the older one holds as many.
+MEMO = 300_000
 
 
 class Codec:
@@ -52,6 +53,7 @@ class Codec:
         self.alone: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.unit = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
         self.raw = [b""] * size
         for i, t in self.piece.items():
@@ -176,12 +178,12 @@ class Codec:
         if not text:
             return end
         units = self.unit(MARK + text.replace(" ", MARK))
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
+        if len(self.memo) > MEMO:
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
         long = {}
         for u in set(units).difference(memo):
-            (memo if len(u) < 64 else long)[u] = self.ids_bytes(u)
+            (memo if len(u) < 64 else long)[u] = older.get(u) or self.ids_bytes(u)
         get = memo.__getitem__ if not long else lambda u: memo[u] if u in memo else long[u]
         return b"".join(map(get, units)) + end
 
