@@ -20,7 +20,8 @@ PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-įı-ſ]*")
 WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ſ]+")
 SPACES = re.compile("[ \t-\r]+")
 FILE_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-MEMO = 1_200_000
+#: Words in the younger of two generations of the memo; the older one holds as many.
+MEMO = 400_000
 
 
 def byte_alphabet() -> list[str]:
@@ -43,6 +44,7 @@ class WordIds:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.alphabet = byte_alphabet()
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
 
     def _library(self, text: str) -> bytes:
@@ -53,16 +55,16 @@ class WordIds:
         return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
 
     def _plain(self, text: str) -> bytes:
-        words, memo = WORDS.findall(text.lower()), self.memo
+        words, memo, older = WORDS.findall(text.lower()), self.memo, self.older
         long = {}
         for w in set(words).difference(memo):
-            (memo if len(w) < 64 else long)[w] = self._word(w)
+            (memo if len(w) < 64 else long)[w] = older.get(w) or self._word(w)
         return b"".join(map(memo.__getitem__ if not long else lambda w: memo[w] if w in memo else long[w], words))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if len(self.memo) > MEMO:
-            self.memo.clear()
+            self.older, self.memo = self.memo, {}
         if any(s in text for s in self.special):
             return self._library(text)
         if PLAIN.fullmatch(text):
