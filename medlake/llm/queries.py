@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlake.llm import language_id, minhash_dedup, order_minhash, packing, sentencepiece_codec, substring_dedup, warc
+from medlake.llm import epsilon_join, language_id, minhash_dedup, order_minhash, packing, sentencepiece_codec, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_epsilon_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epsilon_join.near_vectors(_table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_edits(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def queries() -> dict:
         "op3_language_id": op3_language_id,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_epsilon_join": op7_epsilon_join,
         "op8_order_minhash": op8_order_minhash,
         "op9_packing": op9_packing,
     }
