@@ -137,6 +137,23 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, reject: float = 0.001, id_col
     return fit([r[0] for r in sample], [r[1] for r in sample], reject)
 
 
+def scores(column: pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and acceptance of each text."""
+    data, at = string_bytes(column)
+    names = np.array([*m.langs, "und"], object)
+    letter = np.zeros(256, bool)
+    letter[65:91] = letter[97:123] = True
+    best, score = np.full(len(column), len(m.langs)), np.zeros(len(column))
+    for i, j, part, bounds in text_slices(data, at):
+        known = np.diff(np.concatenate([[0], np.cumsum(letter[part])])[bounds]) > 0
+        for k in np.flatnonzero(~known & (np.diff(bounds) > 0)):
+            known[k] = any(map(str.isalpha, part[bounds[k] : bounds[k + 1]].tobytes().decode("utf-8", "replace")))
+        if m.langs:
+            p = softmax(logits(part, bounds, m.table) / m.temperature)
+            best[i:j], score[i:j] = np.where(known, p.argmax(1), len(m.langs)), np.where(known, p.max(1), 0.0)
+    return names[best], score, (best < len(m.langs)) & (score >= m.threshold)
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, accepted) for every row, from the whole text alone.
 
@@ -146,29 +163,26 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages, of fixed size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        names = np.array([*m.langs, "und"], object)
-        letter = np.zeros(256, bool)
-        letter[65:91] = letter[97:123] = True
         for batch in batches:
-            data, at = string_bytes(batch.column(1))
-            for i, j, part, bounds in text_slices(data, at):
-                known = np.diff(np.concatenate([[0], np.cumsum(letter[part])])[bounds]) > 0
-                for k in np.flatnonzero(~known & (np.diff(bounds) > 0)):
-                    known[k] = any(map(str.isalpha, part[bounds[k] : bounds[k + 1]].tobytes().decode("utf-8", "replace")))
-                if m.langs:
-                    p = softmax(logits(part, bounds, m.table) / m.temperature)
-                    best = np.where(known, p.argmax(1), len(m.langs))
-                    score = np.where(known, p.max(1), 0.0)
-                else:
-                    best, score = np.zeros(j - i, int), np.zeros(j - i)
-                taken = (best < len(m.langs)) & (score >= m.threshold)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(names[best], pa.string()), pa.array(score), pa.array(taken)], names=["id", "lang_pred", "score", "accepted"])
+            lang, score, taken = scores(batch.column(1), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(taken)], names=["id", "lang_pred", "score", "accepted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(work, "id long, lang_pred string, score double, accepted boolean").withColumnRenamed("id", id_col)
 
 
+def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is accepted."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(at), shared.value)[2]))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def crc32_text(value: int) -> int:
     """The checksum behind :func:`held_out`, for tests."""
     return zlib.crc32(str(value).encode())

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlake.llm import epsilon_join, language_id, minhash_dedup, order_minhash, packing, sentencepiece_codec, substring_dedup, warc
+from medlake.llm import epsilon_join, language_id, minhash_dedup, order_minhash, packing, sentencepiece_codec, substring_dedup, token_counts, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,28 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, fetched a day each by id over a year, against a list of dated host, path and domain entries."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(365)).cast("int")).alias("fetched_at"))
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    h = hosts.withColumn("x", F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("int"))
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    x = F.col("x")
+    entry = lambda key, at, action, category: F.struct(key.alias("key"), at.alias("at"), F.lit(action).alias("action"), F.lit(category).alias("category"))
+    per_host = h.select(
+        F.explode(
+            F.array(
+                entry(F.when(x % 2 == 0, F.col("host")), day(x % 300), "add", "host"),
+                entry(F.when(x % 6 == 0, F.col("host")), day(x % 300 + 1 + x % 60), "remove", "host"),
+                entry(F.when(x % 5 == 0, F.concat("host", F.lit("/en"))), day(x % 200), "add", "path"),
+            )
+        ).alias("e")
+    ).select("e.*")
+    fixed = spark.createDataFrame([("example.net", 200, "add", "domain"), ("example.net", 230, "remove", "domain"), ("example.net", 300, "add", "domain")], "key string, n int, action string, category string")
+    entries = per_host.union(fixed.select("key", day(F.col("n")), "action", "category"))
+    return url_filter.filter_urls(pages, entries, "page_id")
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
 
@@ -57,16 +79,23 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return token_counts.section_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), ["source", "lang", "text"], rule="first")
+
+
 def queries() -> dict:
     return {
         "op1_warc": op1_warc,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_language_id": op3_language_id,
+        "op4_url_filter": op4_url_filter,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_epsilon_join": op7_epsilon_join,
         "op8_order_minhash": op8_order_minhash,
         "op9_packing": op9_packing,
+        "op10_token_counts": op10_token_counts,
     }
 
 
@@ -80,5 +109,36 @@ FROM m
 """
 
 
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS fetched_at,
+         regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '\.+$', '') AS host,
+         regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://[^/?#]*(/[^/?#]+)', 1) AS seg
+  FROM pages),
+h AS (SELECT host, CAST('0x' || substr(md5(host), 1, 4) AS INTEGER) AS x FROM (SELECT DISTINCT host FROM p WHERE host <> '')),
+e AS (
+  SELECT host AS key, x % 300 AS n, 'add' AS action, 'host' AS category FROM h WHERE x % 2 = 0
+  UNION ALL SELECT host, x % 300 + 1 + x % 60, 'remove', 'host' FROM h WHERE x % 6 = 0
+  UNION ALL SELECT host || '/en', x % 200, 'add', 'path' FROM h WHERE x % 5 = 0
+  UNION ALL VALUES ('example.net', 200, 'add', 'domain'), ('example.net', 230, 'remove', 'domain'), ('example.net', 300, 'add', 'domain')),
+v AS (
+  SELECT key, action, category, DATE '2024-01-01' + CAST(n AS INTEGER) AS since,
+         lead(DATE '2024-01-01' + CAST(n AS INTEGER)) OVER (PARTITION BY key ORDER BY n) AS until
+  FROM e),
+c AS (
+  SELECT page_id, fetched_at, unnest(list_distinct(
+           CASE WHEN host = '' THEN [] ELSE
+             (CASE WHEN seg <> '' THEN [host || seg] ELSE [] END) || [host] ||
+             [array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') FOR i IN range(1, greatest(len(string_split(host, '.')), 2))] END)) AS key
+  FROM p),
+m AS (
+  SELECT page_id, fetched_at, arg_max({'key': c.key, 'category': category, 'since': since}, length(c.key)) AS m
+  FROM c JOIN v ON c.key = v.key AND v.action = 'add' AND since <= fetched_at AND (until IS NULL OR fetched_at < until)
+  GROUP BY ALL)
+SELECT p.page_id, p.fetched_at, m.m IS NOT NULL AS blocked, m.m.key AS matched_key, m.m.category AS category, m.m.since AS listed_since
+FROM p LEFT JOIN m ON p.page_id = m.page_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL}
+    return {"op1_warc": OP1_SQL, "op4_url_filter": OP4_SQL}

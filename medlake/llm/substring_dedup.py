@@ -235,12 +235,13 @@ def _as_dict(value) -> dict[int, bytes]:
     return {x["part"]: x["bits"] for x in value or ()}
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, keep_clean: bool = False) -> DataFrame:
     """(id, n_words, n_removed, kept_text) for every row of ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``; each word covered by a ``length``-word window that
     also starts in a text with a smaller id goes, judged on the input.  Kept words are
-    joined by one space.  Null texts have no words.  Null ids count as larger than any
+    joined by one space; with ``keep_clean``, texts that lose no word stay as they are.
+    Null texts have no words and become empty.  Null ids count as larger than any
     other; rows that share an id don't remove each other's words.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
@@ -298,14 +299,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 np.add.at(cover, start[gone] + length, -1)
                 keep = np.cumsum(cover)[:-1] == 0
                 keep &= ~np.repeat(np.isin(c.ids, np.array(copy or [], np.int64)) & (w.count() >= length), w.count())
-                yield pa.RecordBatch.from_arrays(_kept(c, keep), names=["id", "n_words", "n_removed", "kept_text"])
+                yield pa.RecordBatch.from_arrays(_kept(c, keep, keep_clean), names=["id", "n_words", "n_removed", "kept_text"])
 
     last = known.join(firsts, "chunk", "left").select("chunk", "ids", "at", "text", "hits", "copies", "firsts")
     out = last.mapInArrow(finish, out_schema)
     return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))).withColumnRenamed("id", id_col)
 
 
-def _kept(c: _Chunk, keep: np.ndarray) -> list[pa.Array]:
+def _kept(c: _Chunk, keep: np.ndarray, keep_clean: bool) -> list[pa.Array]:
     """Counts and texts after removal; each kept word but a text's last is followed by a space."""
     w = c.words
     kept = np.zeros(len(keep) + 1, np.int64)
@@ -321,9 +322,13 @@ def _kept(c: _Chunk, keep: np.ndarray) -> list[pa.Array]:
     mask = np.cumsum(jump[: len(w.data)], dtype=np.int8) > 0
     data = w.data.copy()
     data[SEPARATOR[data]] = 0x20
-    ends = np.zeros(len(chosen) + 1, np.int64)
-    np.cumsum(size, out=ends[1:])
-    at = np.concatenate([[0], ends[np.cumsum(n)]]).astype(np.int32)
+    if keep_clean:
+        whole = np.repeat(n == w.count(), np.diff(w.text_at))
+        mask |= whole
+        data[whole] = w.data[whole]
+    kept_bytes = np.zeros(len(mask) + 1, np.int64)
+    np.cumsum(mask, out=kept_bytes[1:])
+    at = kept_bytes[w.text_at].astype(np.int32)
     text = pa.Array.from_buffers(pa.string(), len(n), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data[mask].tobytes())])
     return [pa.array(c.ids), pa.array(w.count()), pa.array(w.count() - n), text]
 

@@ -32,12 +32,17 @@ def byte_alphabet() -> list[str]:
 
 
 class WordIds:
+    """Encoder for one tokenizer file; subclasses say how its words are found and spelled."""
+
+    FILE_MARK = FILE_PATTERN
+    WORDS = WORDS
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        if FILE_PATTERN not in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\"):
+        if self.FILE_MARK not in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\"):
             raise ValueError("the tokenizer file has another word pattern")
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
@@ -50,12 +55,17 @@ class WordIds:
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _prepared(self, text: str) -> str:
+        return text.lower()
+
+    def _mapped(self, word: str) -> str:
+        return word if word.isascii() else "".join(self.alphabet[b] for b in word.encode())
+
     def _word(self, word: str) -> bytes:
-        mapped = word if word.isascii() else "".join(self.alphabet[b] for b in word.encode())
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        return np.array([t.id for t in self.model.tokenize(self._mapped(word))], "<u4").tobytes()
 
     def _plain(self, text: str) -> bytes:
-        words, memo, older = WORDS.findall(text.lower()), self.memo, self.older
+        words, memo, older = self.WORDS.findall(self._prepared(text)), self.memo, self.older
         long = {}
         for w in set(words).difference(memo):
             (memo if len(w) < 64 else long)[w] = older.get(w) or self._word(w)
@@ -69,6 +79,9 @@ class WordIds:
             return self._library(text)
         if PLAIN.fullmatch(text):
             return self._plain(text)
+        return self._mixed(text)
+
+    def _mixed(self, text: str) -> bytes:
         out = []
         for chunk in SPACES.split(text):
             if PLAIN.fullmatch(chunk):
