@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with a ``QUERIES`` and an ``ORACLE`` mapping.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("queries.evaluation", "queries.relational")
 
 
 def queries() -> dict:
