@@ -53,3 +53,9 @@ def discard(*tables: DataFrame) -> None:
             jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "8m") -> None:
+    """Bound what a Python worker holds at once: rows, and bytes, of an Arrow batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
