@@ -12,22 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medlake.llm import language_id, minhash_dedup, packing, substring_dedup
-from medlake.plans.shared import materialize
+from medlake.plans.shared import materialize, small_batches
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the calibrated language model rejects go."""
+    small_batches(spark)
     return language_id.keep_accepted(docs, language_id.train(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked on five-word shingles at 0.8, the smallest id stays."""
+    small_batches(spark)
     found = minhash_dedup.near_duplicates(docs, shingle=5, percent=80)
     return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that an earlier document has go; so do documents left without words by that."""
+    small_batches(spark)
     kept = substring_dedup.remove_repeats(docs, length=50, keep_clean=True).where("n_removed = 0 or n_removed < n_words")
     rest = docs.select(*(c for c in docs.columns if c not in ("text", "n_chars")), F.col("text").isNull().alias("_no_text"), F.col("n_chars").alias("_n_chars"))
     text = F.when(~F.col("_no_text"), F.col("kept_text"))
@@ -37,6 +40,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token windows of 2048 with the sources' own mixture."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=2048)
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medlake.llm import epsilon_join, language_id, minhash_dedup, order_minhash, packing, sentencepiece_codec, substring_dedup, token_counts, url_filter, warc
+from medlake.plans.shared import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
