@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 SPACE = "[ \\t\\r\\n\\f]+"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also where ``body`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     """White space collapsed to single blanks and trimmed (F2)."""
     return F.trim(F.regexp_replace(c, SPACE, " "))
@@ -96,10 +101,15 @@ def clean_report(c: Column) -> Column:
     for pattern, put in (("(?m)^[ \\t]*[0-9]+[.)][ \\t]+", ""), ("[*]+", ""), ("\\b[A-Z][a-zA-Z \\t\\r\\n]*:[ \\t\\r\\n]*", ""), ("(?m)^[ \\t]*[-\u2022][ \\t]+", "")):
         body = F.regexp_replace(body, pattern, put)
     body = F.regexp_replace(squeeze(body), "(?i)(electronically signed|dictated by|report signed).*$", "")
-    parts = F.filter(F.transform(F.split(body, "[.]"), F.trim), lambda s: (s != "") & ~F.lower(s).rlike("discussed with|telephone|please call"))
-    first = F.filter(parts, lambda s, i: F.array_position(F.transform(parts, F.lower), F.lower(s)) == i + 1)
-    joined = F.concat(F.array_join(first, ". "), F.lit("."))
-    return F.when(c.isNull() | (F.trim(c) == ""), c).when(F.size(first) == 0, squeeze(c)).otherwise(joined)
+    admin = "discussed with|telephone|please call"
+    parts = F.filter(F.transform(F.split(body, "[.]"), F.trim), lambda s: (s != "") & ~F.lower(s).rlike(admin))
+
+    def joined(p: Column) -> Column:
+        names = F.array_distinct(F.transform(p, F.lower))
+        first = lambda low: F.transform(names, lambda n: F.get(p, F.array_position(low, n).cast("int") - 1))
+        return F.when(F.size(p) == 0, squeeze(c)).otherwise(F.concat(F.array_join(let(F.transform(p, F.lower), first), ". "), F.lit(".")))
+
+    return F.when(c.isNull() | (F.trim(c) == ""), c).otherwise(let(parts, joined))
 
 
 def drop_sections(c: Column, unwanted: list[str]) -> Column:
