@@ -59,7 +59,7 @@ def pii_like(c: Column) -> Column:
 def sentences(c: Column) -> Column:
     """Non-empty sentences: split behind . ; ! ? and at line ends."""
     marked = F.regexp_replace(c, "([.;!?])[ \\t]+", "$1\n")
-    return F.filter(F.transform(F.split(marked, "[\\r\\n]+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "[\\r\\n]+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def tokens(c: Column) -> Column:
@@ -102,7 +102,7 @@ def clean_report(c: Column) -> Column:
         body = F.regexp_replace(body, pattern, put)
     body = F.regexp_replace(squeeze(body), "(?i)(electronically signed|dictated by|report signed).*$", "")
     admin = "discussed with|telephone|please call"
-    parts = F.filter(F.transform(F.split(body, "[.]"), F.trim), lambda s: (s != "") & ~F.lower(s).rlike(admin))
+    parts = F.filter(F.transform(F.split(body, "[.]"), lambda s: F.trim(s)), lambda s: (s != "") & ~F.lower(s).rlike(admin))
 
     def joined(p: Column) -> Column:
         names = F.array_distinct(F.transform(p, F.lower))

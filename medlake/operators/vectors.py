@@ -27,8 +27,8 @@ def top_k(queries: DataFrame, bank: DataFrame, k: int, metric: str = "dot", digi
     rows = queries.select("query_id", "v").limit(MAX_QUERIES + 1).collect()
     if len(rows) > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries: search them in parts")
-    ids = np.array([r[0] for r in rows])
-    matrix = np.array([r[1] for r in rows], float).reshape(len(rows), -1)
+    ids = np.array([r[0] for r in rows], np.int64)
+    matrix = np.array([r[1] for r in rows], float) if rows else np.zeros((0, 0))
     shared = bank.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

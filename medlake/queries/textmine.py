@@ -93,16 +93,16 @@ def observation_bank(spark, sf):
     return tm.bank(table(spark, sf, "part").select(F.explode(tm.parse_observations(doc)).alias("phrase")), "phrase")
 
 
-TAXONOMY = [("metal", "(steel|brass|tin|copper|nickel)"), ("finish", "(plated|anodized|brushed|polished|burnished)"), ("size", "(small|medium|large|economy)")]
+TAXONOMY = [("thing", "(widget|bolt|ring)"), ("colour", "(red|blue|green)"), ("size", "(small|medium|large|economy)")]
 
 
 def _case(col: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({col}, '{p}') THEN '{n}'" for n, p in TAXONOMY) + " ELSE 'other' END"
 
 
-@query("taxonomy_first_match", f"SELECT p_partkey, {_case('lower(p_type)')} AS category FROM part")
+@query("taxonomy_first_match", f"SELECT p_partkey, {_case('lower(p_name)')} AS category FROM part")
 def taxonomy_first_match(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", ru.first_match(F.lower("p_type"), TAXONOMY).alias("category"))
+    return table(spark, sf, "part").select("p_partkey", ru.first_match(F.lower("p_name"), TAXONOMY).alias("category"))
 
 
 HITS = {"vowelish": ("a.*a", "e.*e", "o"), "stop": ("t", "d$", "k"), "soft": ("l", "m", "n$")}
@@ -117,8 +117,8 @@ def taxonomy_max_hits(spark, sf):
     return table(spark, sf, "part").select("p_partkey", ru.most_hits(F.lower("p_name"), HITS).alias("category"))
 
 
-PROFILE = ru.Profile(direct=("steel", "brass"), associated=("plated", "polished"), exclude=("promo",), global_exclude=("tin",))
-T = """t AS (SELECT p_partkey, lower(p_type) AS t FROM part), h AS (SELECT *, list_filter(['tin', 'promo'], lambda p: regexp_matches(t, p)) AS bad, list_filter(['steel', 'brass'], lambda p: regexp_matches(t, p)) AS d, list_filter(['plated', 'polished'], lambda p: regexp_matches(t, p)) AS a,
+PROFILE = ru.Profile(direct=("widget", "bolt"), associated=("ring", "small"), exclude=("promo",), global_exclude=("red",))
+T = """t AS (SELECT p_partkey, lower(p_name || ' ' || p_type) AS t FROM part), h AS (SELECT *, list_filter(['red', 'promo'], lambda p: regexp_matches(t, p)) AS bad, list_filter(['widget', 'bolt'], lambda p: regexp_matches(t, p)) AS d, list_filter(['ring', 'small'], lambda p: regexp_matches(t, p)) AS a,
  least(len(list_filter(regexp_split_to_array(t, '[ ]+'), lambda w: w <> '')), 30) AS words FROM t),
  r AS (SELECT p_partkey, CASE WHEN len(bad) > 0 THEN 'excluded' WHEN len(d) > 0 THEN 'direct' WHEN len(a) > 0 THEN 'associated' ELSE 'rejected' END AS tier,
  CAST(CASE WHEN len(bad) > 0 THEN 0 WHEN len(d) > 0 THEN 100 + 5 * len(d) - words WHEN len(a) > 0 THEN 50 + 5 * len(a) - words ELSE 0 END AS INTEGER) AS score,
@@ -126,7 +126,7 @@ T = """t AS (SELECT p_partkey, lower(p_type) AS t FROM part), h AS (SELECT *, li
 
 
 def tiers(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", "p_brand", ru.tier(F.lower("p_type"), PROFILE).alias("r")).select("p_partkey", "p_brand", "r.tier", "r.score", F.array_join("r.matched", ",").alias("matched"))
+    return table(spark, sf, "part").select("p_partkey", "p_brand", ru.tier(F.lower(F.concat("p_name", F.lit(" "), "p_type")), PROFILE).alias("r")).select("p_partkey", "p_brand", "r.tier", "r.score", F.array_join("r.matched", ",").alias("matched"))
 
 
 @query("rule_tiering", f"WITH {T} SELECT p_partkey, tier, score, matched FROM r")
@@ -140,9 +140,9 @@ def tier_summary(spark, sf):
     return s.withColumn("status", ru.review_status(F.col("n_direct"), F.col("n_associated")))
 
 
-@query("audit_decision", f"WITH {T} SELECT CASE tier WHEN 'direct' THEN 'retain' WHEN 'associated' THEN 'support' WHEN 'excluded' THEN CASE WHEN contains(matched, 'tin') THEN 'material' WHEN contains(matched, 'promo') THEN 'marketing' ELSE 'excluded_other' END ELSE 'no_rule' END AS decision, count(*) AS n FROM r GROUP BY 1")
+@query("audit_decision", f"WITH {T} SELECT CASE tier WHEN 'direct' THEN 'retain' WHEN 'associated' THEN 'support' WHEN 'excluded' THEN CASE WHEN contains(matched, 'red') THEN 'material' WHEN contains(matched, 'promo') THEN 'marketing' ELSE 'excluded_other' END ELSE 'no_rule' END AS decision, count(*) AS n FROM r GROUP BY 1")
 def audit_decision(spark, sf):
-    return tiers(spark, sf).groupBy(ru.audit(F.col("tier"), F.col("matched"), [("tin", "material"), ("promo", "marketing")]).alias("decision")).agg(F.count("*").alias("n"))
+    return tiers(spark, sf).groupBy(ru.audit(F.col("tier"), F.col("matched"), [("red", "material"), ("promo", "marketing")]).alias("decision")).agg(F.count("*").alias("n"))
 
 
 PHRASES = ["no pleural effusion", "possible nodule", "lungs are clear but hazy", "effusion is not seen", "mass with no edema", "normal heart", "limited study", "small effusion"]
@@ -172,8 +172,8 @@ def finding_binary(spark, sf):
 
 @query("anatomy_classify")
 def anatomy_classify(spark, sf):
-    scopes = {"CHEST": (["lung", "steel", "brass"], 3), "ABDOMEN": (["liver", "copper", "tin"], 3), "GENERAL": (["plated", "polished"], 1)}
-    return table(spark, sf, "part").select("p_partkey", tm.anatomy(F.col("p_type"), scopes).alias("a")).select("p_partkey", "a.*")
+    scopes = {"CHEST": (["widget", "bolt"], 3), "ABDOMEN": (["ring", "gear"], 3), "GENERAL": (["small", "red"], 1)}
+    return table(spark, sf, "part").select("p_partkey", tm.anatomy(F.col("p_name"), scopes).alias("a")).select("p_partkey", "a.*")
 
 
 @query("latest_upsert", "SELECT o_orderpriority, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")
