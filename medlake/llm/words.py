@@ -17,7 +17,7 @@ import pyarrow as pa
 U = np.uint64
 #: Odd multipliers of the polynomial sums over bytes and over words.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
