@@ -89,24 +89,18 @@ def fit(texts: list[str], labels: list[str], reject: float = 0.001, seed: int =
             pieces.append(" ".join(words[s : s + PIECE_WORDS]))
             target.append(y[i])
     chosen = rng.permutation(len(pieces))[:PIECES]
-    flat, owner = features(*_buffers([pieces[i] for i in chosen]))
-    order = np.argsort(owner, kind="stable")
-    flat, size = flat[order], np.bincount(owner, minlength=len(chosen))
-    first = np.concatenate([[0], np.cumsum(size)])
-    goal = np.array(target)[chosen] if len(chosen) else np.zeros(0, int)
     vectors, weights = rng.normal(0, 0.1, (1 << BITS, DIM)), np.zeros((DIM, len(langs)))
-    usable = np.flatnonzero(size > 0)
-    steps = EPOCHS * -(-len(usable) // BATCH)
+    steps = EPOCHS * -(-len(chosen) // BATCH)
     step = 0
     for _ in range(EPOCHS):
-        turn = rng.permutation(usable)
+        turn = rng.permutation(chosen)
         for s in range(0, len(turn), BATCH):
             b = turn[s : s + BATCH]
-            n = size[b]
-            ids = flat[np.repeat(first[b] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            flat, owner = features(*_buffers([pieces[i] for i in b]))  # afresh each time: memory stays that of a batch
+            ids, n = flat[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(b))
             mean = np.add.reduceat(vectors[ids], np.cumsum(n) - n) / n[:, None]
             slope = softmax(mean @ weights)
-            slope[np.arange(len(b)), goal[b]] -= 1
+            slope[np.arange(len(b)), [target[i] for i in b]] -= 1
             rate = RATE * (1 - step / steps) / np.sqrt(len(b))
             back = slope @ weights.T / n[:, None]
             weights -= rate * mean.T @ slope
@@ -114,7 +108,8 @@ def fit(texts: list[str], labels: list[str], reject: float = 0.001, seed: int =
             step += 1
     table = vectors @ weights
     check = np.flatnonzero(held) if held.any() else np.arange(len(rows))
-    z, goal = logits(*_buffers([rows[i][0] for i in check]), table), y[check]
+    z = np.concatenate([logits(*_buffers([rows[i][0]]), table) for i in check])
+    goal = y[check]
     loss = lambda t: -np.mean(np.log(softmax(z / t)[np.arange(len(goal)), goal] + 1e-300))
     temperature = min(np.geomspace(0.25, 20, 89), key=loss)
     p = softmax(z / temperature)
