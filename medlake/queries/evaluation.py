@@ -82,16 +82,16 @@ def retrieval_c2i(spark, sf):
 
 DOTS = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
  c AS (SELECT label AS concept, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(v[i]) AS m FROM e, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i) GROUP BY label),
- x AS (SELECT vec_id, concept, CAST(e.label = concept AS INTEGER) AS y, round(list_inner_product(v, c), 9) AS score FROM e, c WHERE vec_id % 5 = 0)"""
+ x AS (SELECT vec_id, concept, CAST(e.label = concept AS INTEGER) AS y, round(list_inner_product(v, c), 9) AS score FROM e, c)"""
 
 
 def concept_scores(spark, sf):
-    """(vec_id, concept, y, score): held-out vectors against the centroid of each label."""
+    """(vec_id, concept, y, score): vectors against the centroid of each label."""
     from medlake.functions.vectors import dot, mean_vector
 
     e = table(spark, sf, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
     c = mean_vector(e, ["label"], "v", "c").select(F.col("label").alias("concept"), "c")
-    held = e.where("vec_id % 5 = 0").select("vec_id", "label", "v")
+    held = e.select("vec_id", "label", "v")
     both = held.crossJoin(F.broadcast(c))  # one centroid for each of a fixed set of labels
     return both.select("vec_id", "concept", (F.col("label") == F.col("concept")).cast("int").alias("y"), F.round(dot("v", "c"), 9).alias("score"))
 

@@ -72,9 +72,9 @@ def level1_means(spark, sf):
     return rounded(p.groupBy("p_brand").agg(F.avg(F.when(~F.contains("code", F.lit(".")), F.col("p_retailprice"))).alias("level1"), F.avg("p_retailprice").alias("every")))
 
 
-@query("join_left_attach", "SELECT o.o_orderkey, c.c_nationkey FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) c ON o.o_custkey = c.c_custkey")
+@query("join_left_attach", "SELECT o.o_orderkey, c.c_nationkey FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') c ON o.o_custkey = c.c_custkey")
 def join_left_attach(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    c = table(spark, sf, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     return rel.left_unique(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), c, ["o_custkey"], [F.col("c_nationkey")]).select("o_orderkey", "c_nationkey")
 
 
@@ -100,18 +100,18 @@ def join_two_hop(spark, sf):
     return li.join(o, "l_orderkey", "left").join(c, "o_custkey", "left").select("l_orderkey", "l_linenumber", "c_mktsegment")
 
 
-@query("join_star_left", "SELECT r_name, n_name, count(c_custkey) AS customers, count(DISTINCT s_suppkey) AS suppliers FROM nation LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey < 5 GROUP BY ALL")
+@query("join_star_left", "SELECT r_name, n_name, coalesce(c.n, 0) AS customers, coalesce(s.n, 0) AS suppliers FROM nation LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) c ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey")
 def join_star_left(spark, sf):
-    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
-    s = table(spark, sf, "supplier").where("s_suppkey < 5").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey"))
-    star = n.join(r, n["n_regionkey"] == r["r_regionkey"], "left").join(c, "n_nationkey", "left").join(s, "n_nationkey", "left")
-    return star.groupBy("r_name", "n_name").agg(F.count("c_custkey").alias("customers"), F.count_distinct("s_suppkey").alias("suppliers"))
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"))
+    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))
+    star = n.join(r, "n_regionkey", "left").join(c, "n_nationkey", "left").join(s, "n_nationkey", "left")
+    return star.select("r_name", "n_name", *(F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("customers", "suppliers")))
 
 
-@query("join_orphans", "SELECT CASE WHEN b.k IS NULL THEN 'left_only' WHEN a.k IS NULL THEN 'right_only' ELSE 'both' END AS side, count(*) AS n FROM (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 5 <> 0) a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders) b ON a.k = b.k GROUP BY 1")
+@query("join_orphans", "SELECT CASE WHEN b.k IS NULL THEN 'left_only' WHEN a.k IS NULL THEN 'right_only' ELSE 'both' END AS side, count(*) AS n FROM (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_mktsegment <> 'MACHINERY') a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders) b ON a.k = b.k GROUP BY 1")
 def join_orphans(spark, sf):
-    return rel.orphans(table(spark, sf, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("k")), table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), ["k"])
+    return rel.orphans(table(spark, sf, "customer").where("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("k")), table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), ["k"])
 
 
 @query("join_replicate", "SELECT o_orderpriority, c_mktsegment, count(*) AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
@@ -244,9 +244,9 @@ def retention_summary(spark, sf):
     return k.groupBy(F.when(F.col("kept") == 0, "none").when(F.col("kept") == 10, "all").otherwise("partial").alias("state")).agg(F.count("*").alias("labels"), F.sum("kept").alias("kept"))
 
 
-@query("topk_overlap", f"WITH {TOP}, s AS (SELECT * FROM t WHERE r <= 25 AND l_suppkey <= 20) SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS shared FROM s a JOIN s b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY ALL")
+@query("topk_overlap", f"WITH {TOP}, s AS (SELECT * FROM t WHERE r <= 25) SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS shared FROM s a JOIN s b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY ALL")
 def topk_overlap(spark, sf):
-    g = table(spark, sf, "lineitem").where("l_suppkey <= 20").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_extendedprice").alias("v"))
+    g = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_extendedprice").alias("v"))
     s = rel.keep_top(g, ["l_suppkey"], [F.col("v").desc(), F.col("l_partkey")], 25)
     pair = s.select(F.col("l_suppkey").alias("a"), "l_partkey").join(s.select(F.col("l_suppkey").alias("b"), "l_partkey"), "l_partkey").where("a < b")
     return pair.groupBy("a", "b").agg(F.count("*").alias("shared"))

@@ -1,4 +1,4 @@
-"""Embeddings split into images (vec_id % 5 = 0) and a bank (the rest); a nation tree as ontology; model fits."""
+"""Embeddings, each as a query and as a bank row, and their label centroids; a nation tree as ontology; model fits."""
 
 from __future__ import annotations
 
@@ -32,7 +32,7 @@ def centroids(spark, sf):
 
 
 def image_scores(spark, sf):
-    images = unit(spark, sf).where("vec_id % 5 = 0")
+    images = unit(spark, sf)
     return images.crossJoin(F.broadcast(centroids(spark, sf)))  # a fixed set of labels
 
 
@@ -41,12 +41,12 @@ def vec_normalize(spark, sf):
     return rounded(unit(spark, sf).select("vec_id", norm("v").alias("norm"), F.get("v", F.lit(0)).alias("first")))
 
 
-TOPK = "s AS (SELECT q.vec_id AS query_id, b.vec_id AS bank_id, round(list_inner_product(q.v, b.v), 9) AS score FROM n q, n b WHERE q.vec_id % 5 = 0 AND b.vec_id % 5 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bank_id) AS rank FROM s)"
+TOPK = "s AS (SELECT q.vec_id AS query_id, b.vec_id AS bank_id, round(list_inner_product(q.v, b.v), 9) AS score FROM n q, n b), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bank_id) AS rank FROM s)"
 
 
-def searched(spark, sf, k=10, metric="dot", pool="vec_id % 5 <> 0"):
+def searched(spark, sf, k=10, metric="dot", pool="true"):
     u = unit(spark, sf)
-    return ve.top_k(u.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), "v"), u.where(pool).select(F.col("vec_id").alias("bank_id"), "v"), k, metric)
+    return ve.top_k(u.select(F.col("vec_id").alias("query_id"), "v"), u.where(pool).select(F.col("vec_id").alias("bank_id"), "v"), k, metric)
 
 
 @query("vec_topk", f"WITH {E}, {N}, {TOPK} SELECT query_id, bank_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
@@ -54,18 +54,18 @@ def vec_topk(spark, sf):
     return rounded(searched(spark, sf))
 
 
-@query("pool_knn", f"WITH {E}, {N}, s AS (SELECT q.vec_id AS query_id, b.vec_id AS bank_id, round(-(list_inner_product(q.v, q.v) - 2 * list_inner_product(q.v, b.v) + list_inner_product(b.v, b.v)), 9) AS score FROM n q, n b WHERE q.vec_id % 5 = 0 AND b.vec_id % 5 = 1), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bank_id) AS rank FROM s) SELECT query_id, bank_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
+@query("pool_knn", f"WITH {E}, {N}, s AS (SELECT q.vec_id AS query_id, b.vec_id AS bank_id, round(-(list_inner_product(q.v, q.v) - 2 * list_inner_product(q.v, b.v) + list_inner_product(b.v, b.v)), 9) AS score FROM n q, n b WHERE b.label = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bank_id) AS rank FROM s) SELECT query_id, bank_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
 def pool_knn(spark, sf):
-    return rounded(searched(spark, sf, 5, "l2", "vec_id % 5 = 1"))
+    return rounded(searched(spark, sf, 5, "l2", "label = 0"))
 
 
-@query("knn_rerank", f"WITH {E}, {N}, {TOPK}, a AS (SELECT query_id, bank_id, score FROM r WHERE rank <= 10 AND bank_id % 2 = 0), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sqrt(greatest(0, 2 - 2 * score)), 6), bank_id) AS place FROM a) SELECT query_id, bank_id, round(sqrt(greatest(0, 2 - 2 * score)), 6) AS distance, place FROM b WHERE place <= 2")
+@query("knn_rerank", f"WITH {E}, {N}, {TOPK}, a AS (SELECT query_id, bank_id, score FROM r WHERE rank <= 10), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sqrt(greatest(0, 2 - 2 * score)), 6), bank_id) AS place FROM a) SELECT query_id, bank_id, round(sqrt(greatest(0, 2 - 2 * score)), 6) AS distance, place FROM b WHERE place <= 2")
 def knn_rerank(spark, sf):
-    near = searched(spark, sf).where("bank_id % 2 = 0").withColumn("distance", F.round(ve.unit_distance(F.col("score")), 6))
+    near = searched(spark, sf).withColumn("distance", F.round(ve.unit_distance(F.col("score")), 6))
     return rel.keep_top(near.select("query_id", "bank_id", "distance"), ["query_id"], [F.col("distance"), F.col("bank_id")], 2, "place").withColumn("place", F.col("place").cast("bigint"))
 
 
-@query("unit_distance", f"WITH {E}, {N}, {C} SELECT vec_id, c_label, round(sqrt(greatest(0, 2 - 2 * least(greatest(list_inner_product(v, c) / sqrt(list_inner_product(c, c)), -1), 1))), 6) AS distance FROM n, c WHERE vec_id % 5 = 0")
+@query("unit_distance", f"WITH {E}, {N}, {C} SELECT vec_id, c_label, round(sqrt(greatest(0, 2 - 2 * least(greatest(list_inner_product(v, c) / sqrt(list_inner_product(c, c)), -1), 1))), 6) AS distance FROM n, c")
 def unit_distance(spark, sf):
     return rounded(image_scores(spark, sf).select("vec_id", "c_label", ve.unit_distance(dot("v", "c") / norm("c")).alias("distance")))
 
@@ -76,7 +76,7 @@ def group_centroids(spark, sf):
     return rounded(c.select("label", (F.col("p") + 1).cast("bigint").alias("i"), "m"))
 
 
-@query("centroid_alignment", f"WITH {E}, {N}, {C}, s AS (SELECT vec_id, label, c_label, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_inner_product(v, c), 9) DESC, c_label) AS r FROM n, c WHERE vec_id % 5 = 0) SELECT label, count(CASE WHEN r = 1 THEN 1 END) AS n, round(avg(CASE WHEN r = 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END), 6) AS top3 FROM s WHERE label = c_label GROUP BY label")
+@query("centroid_alignment", f"WITH {E}, {N}, {C}, s AS (SELECT vec_id, label, c_label, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_inner_product(v, c), 9) DESC, c_label) AS r FROM n, c) SELECT label, count(CASE WHEN r = 1 THEN 1 END) AS n, round(avg(CASE WHEN r = 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END), 6) AS top3 FROM s WHERE label = c_label GROUP BY label")
 def centroid_alignment(spark, sf):
     s = image_scores(spark, sf).withColumn("s", F.round(dot("v", "c"), 9)).select("vec_id", "label", "c_label", "s")
     r = rel.keep_top(s, ["vec_id"], [F.col("s").desc(), F.col("c_label")], 10**6, "r").where("label = c_label")
@@ -88,13 +88,13 @@ def centroid_corr_distance(spark, sf):
     return rounded(ve.centroid_pairs(centroids(spark, sf), "c_label", "c"))
 
 
-@query("zero_shot_score", f"WITH {E}, {N}, {C} SELECT n.vec_id, round(1 / (1 + exp(list_inner_product(n.v, b.c) - list_inner_product(n.v, a.c))), 6) AS p FROM n, c a, c b WHERE a.c_label = 0 AND b.c_label = 1 AND vec_id % 5 = 0")
+@query("zero_shot_score", f"WITH {E}, {N}, {C} SELECT n.vec_id, round(1 / (1 + exp(list_inner_product(n.v, b.c) - list_inner_product(n.v, a.c))), 6) AS p FROM n, c a, c b WHERE a.c_label = 0 AND b.c_label = 1")
 def zero_shot_score(spark, sf):
     s = image_scores(spark, sf).select("vec_id", "c_label", dot("v", "c").alias("s")).groupBy("vec_id").pivot("c_label", [0, 1]).agg(F.first("s"))
     return rounded(s.select("vec_id", ve.zero_shot(F.col("0"), F.col("1")).alias("p")))
 
 
-@query("presence_ensemble", f"WITH {E}, {N}, {C} SELECT n.vec_id, round(avg(1 / (1 + exp(-10 * (list_inner_product(n.v, a.c) - list_inner_product(n.v, r.c))))), 6) AS presence FROM n, c a, c r WHERE r.c_label = 0 AND a.c_label IN (1, 2, 3) AND vec_id % 5 = 0 GROUP BY 1")
+@query("presence_ensemble", f"WITH {E}, {N}, {C} SELECT n.vec_id, round(avg(1 / (1 + exp(-10 * (list_inner_product(n.v, a.c) - list_inner_product(n.v, r.c))))), 6) AS presence FROM n, c a, c r WHERE r.c_label = 0 AND a.c_label IN (1, 2, 3) GROUP BY 1")
 def presence_ensemble(spark, sf):
     s = image_scores(spark, sf).select("vec_id", "c_label", dot("v", "c").alias("s"))
     ref = s.where("c_label = 0").select("vec_id", F.col("s").alias("r"))
@@ -102,21 +102,21 @@ def presence_ensemble(spark, sf):
     return rounded(both.groupBy("vec_id").agg(F.avg(ve.zero_shot(10 * F.col("s"), 10 * F.col("r"))).alias("presence")))
 
 
-@query("bank_projection", f"""WITH {E}, {N}, b AS (SELECT v, list_reverse(v) AS w FROM n WHERE vec_id % 5 <> 0), g AS (SELECT i, j, sum(v[i] * w[j]) AS g FROM b, (SELECT unnest(range(1, 65)) AS i), (SELECT unnest(range(1, 65)) AS j) GROUP BY i, j),
- p AS (SELECT vec_id, j, sum(v[i] * g) AS x FROM n, g WHERE vec_id % 5 = 0 GROUP BY vec_id, j) SELECT vec_id, j, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 1e-9), 6) AS x FROM p""")
+@query("bank_projection", f"""WITH {E}, {N}, b AS (SELECT v, list_reverse(v) AS w FROM n), g AS (SELECT i, j, sum(v[i] * w[j]) AS g FROM b, (SELECT unnest(range(1, 65)) AS i), (SELECT unnest(range(1, 65)) AS j) GROUP BY i, j),
+ p AS (SELECT vec_id, j, sum(v[i] * g) AS x FROM n, g GROUP BY vec_id, j) SELECT vec_id, j, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 1e-9), 6) AS x FROM p""")
 def bank_projection(spark, sf):
     u = unit(spark, sf)
-    bank = u.where("vec_id % 5 <> 0").select(F.col("v").alias("a"), F.reverse("v").alias("b"))
-    p = ve.project(u.where("vec_id % 5 = 0").select(F.col("vec_id").alias("id"), "v"), bank, "a", "b")
+    bank = u.select(F.col("v").alias("a"), F.reverse("v").alias("b"))
+    p = ve.project(u.select(F.col("vec_id").alias("id"), "v"), bank, "a", "b")
     return rounded(p.select(F.col("id").alias("vec_id"), F.posexplode("p").alias("_j", "x")).select("vec_id", (F.col("_j") + 1).cast("bigint").alias("j"), "x"))
 
 
-MEAN = "m AS (SELECT list(x ORDER BY i) AS m FROM (SELECT i, avg(v[i]) AS x FROM n, (SELECT unnest(range(1, 65)) AS i) WHERE vec_id % 5 <> 0 GROUP BY i)), d AS (SELECT vec_id, list_transform(list_zip(v, m), lambda z: z[1] - z[2]) AS d FROM n, m WHERE vec_id % 5 <> 0), k AS (SELECT vec_id, list_transform(d, lambda x: x / greatest(sqrt(list_inner_product(d, d)), 1e-9)) AS k FROM d)"
+MEAN = "m AS (SELECT list(x ORDER BY i) AS m FROM (SELECT i, avg(v[i]) AS x FROM n, (SELECT unnest(range(1, 65)) AS i) GROUP BY i)), d AS (SELECT vec_id, list_transform(list_zip(v, m), lambda z: z[1] - z[2]) AS d FROM n, m), k AS (SELECT vec_id, list_transform(d, lambda x: x / greatest(sqrt(list_inner_product(d, d)), 1e-9)) AS k FROM d)"
 ALIGN = f"WITH {E}, {N}, {C}, {MEAN}, x AS (SELECT c_label, vec_id, list_inner_product(c, k) AS a, list_inner_product(c, k) / sqrt(list_inner_product(c, c)) AS cosine FROM c, k)"
 
 
 def aligned(spark, sf):
-    bank = ve.centred(unit(spark, sf).where("vec_id % 5 <> 0").select("vec_id", "v"), "v", "k")
+    bank = ve.centred(unit(spark, sf).select("vec_id", "v"), "v", "k")
     both = bank.crossJoin(F.broadcast(centroids(spark, sf)))  # a fixed set of labels
     return both.select("c_label", "vec_id", dot("c", "k").alias("a"), (dot("c", "k") / norm("c")).alias("cosine"))
 
@@ -149,9 +149,9 @@ def sign_consistency(spark, sf):
     return rounded(s.join(point, "vec_id").groupBy("vec_id").agg(F.avg(same).alias("consistency")))
 
 
-@query("standardize", f"WITH {E}, s AS (SELECT i, avg(v[i]) AS m, stddev_pop(v[i]) AS s FROM e, (SELECT unnest(range(1, 65)) AS i) GROUP BY i) SELECT vec_id, i, round((v[i] - m) / (s + 1e-8), 6) AS z FROM e, s WHERE i <= 8")
+@query("standardize", f"WITH {E}, s AS (SELECT i, avg(v[i]) AS m, stddev_pop(v[i]) AS s FROM e, (SELECT unnest(range(1, 65)) AS i) GROUP BY i) SELECT vec_id, i, round((v[i] - m) / (s + 1e-8), 6) AS z FROM e, s")
 def standardize(spark, sf):
-    z = ml.standardize(emb(spark, sf), "v", "z").select("vec_id", F.posexplode("z").alias("_i", "z")).where("_i < 8")
+    z = ml.standardize(emb(spark, sf), "v", "z").select("vec_id", F.posexplode("z").alias("_i", "z"))
     return rounded(z.select("vec_id", (F.col("_i") + 1).cast("bigint").alias("i"), "z"))
 
 
@@ -201,11 +201,11 @@ def hierarchy_closure(spark, sf):
     return ontology.descendants(tree(spark, sf), spark.createDataFrame([("r1",)], "node string"))
 
 
-HOPS = f"WITH RECURSIVE {TREE}, u AS (SELECT parent AS x, child AS y FROM t UNION SELECT child, parent FROM t), w AS (SELECT 'n' || n_nationkey AS source, 'n' || n_nationkey AS node, 0 AS hops FROM nation WHERE n_nationkey < 5 UNION SELECT source, y, hops + 1 FROM w JOIN u ON x = node WHERE hops < 4), h AS (SELECT source, node, min(hops) AS hops FROM w GROUP BY ALL)"
+HOPS = f"WITH RECURSIVE {TREE}, u AS (SELECT parent AS x, child AS y FROM t UNION SELECT child, parent FROM t), w AS (SELECT 'n' || n_nationkey AS source, 'n' || n_nationkey AS node, 0 AS hops FROM nation UNION SELECT source, y, hops + 1 FROM w JOIN u ON x = node WHERE hops < 4), h AS (SELECT source, node, min(hops) AS hops FROM w GROUP BY ALL)"
 
 
 def walked(spark, sf):
-    src = table(spark, sf, "nation").where("n_nationkey < 5").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
+    src = table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
     return ontology.hops(tree(spark, sf), src, 4)
 
 
