@@ -33,7 +33,7 @@ from medlake.llm.components import connected_components
 from medlake.llm.words import U, mix, split_words, string_bytes, text_slices, window_starts, window_hash
 from medlake.plans.shared import discard, materialize
 
-BLOCK_ROWS, BLOCK_BYTES = 4096, 32 << 20
+BLOCK_ROWS, BLOCK_BYTES, BITMAP_BITS = 4096, 32 << 20, 1 << 24
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,11 +113,24 @@ def _likely(pairs: DataFrame, reps: DataFrame, cut: float) -> DataFrame:
 
 
 def _shingle_tables(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, shingles) of the wanted texts; texts travel compressed, sets are made after the join."""
+    """(id, shingles) of the wanted texts.
+
+    A bitmap of the wanted ids' hashes, of fixed size, spares most other texts the
+    exchange; it may let some through, which the join drops.  Texts travel compressed, and
+    sets are made after the join.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
+    packed_bits = ids.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("s") % 32768).alias("bits"))
+    bits = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for r in packed_bits.collect():  # BITMAP_BITS / 8 bytes at most
+        bits[r.part * 4096 : r.part * 4096 + 4096] = np.frombuffer(r.bits, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
+            at = batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             data, at = string_bytes(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(data[s:e].tobytes()) for s, e in zip(at[:-1], at[1:])], pa.binary())], names=["id", "text"])
 
@@ -129,7 +142,7 @@ def _shingle_tables(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str,
                 h, _ = shingle_sets(raw, np.array([0, len(raw)]), k)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[row : row + 1], pa.array([h.tobytes()], pa.binary())], names=["id", "shingles"])
 
-    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(squeeze, "id long, text binary")
+    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("slot", slot).mapInArrow(squeeze, "id long, text binary")
     return packed.join(ids, "id", "left_semi").mapInArrow(sets, "id long, shingles binary")
 
 
