@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Units in the younger of two generations of the memo; the older one holds as many.
-MEMO = 300_000
+MEMO = 200_000
 
 
 class Codec:

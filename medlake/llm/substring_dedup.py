@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from medlake.llm.words import SEPARATOR, U, Words, mix, split_words, string_bytes, window_hash, window_starts
 from medlake.plans.shared import materialize
 
-CHUNK_BYTES, PART_BYTES = 4 << 20, 16 << 20
+CHUNK_BYTES, PART_BYTES = 2 << 20, 16 << 20
 NO_ID = 2**63 - 1
 Batches = Iterator[pa.RecordBatch]
 
