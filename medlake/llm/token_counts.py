@@ -31,7 +31,7 @@ RULES = ("first", "last", "most")
 class ByteIds(WordIds):
     """Ids of a byte-level tokenizer file whose words follow :data:`BYTE_WORDS`."""
 
-    FILE_MARK = '"use_regex": true'
+    FILE_MARK = '"use_regex":true'
     WORDS = BYTE_WORDS
 
     def __init__(self, path: str):

@@ -41,7 +41,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:  # as text: its parsed form would take far more memory
-            if not any(json.dumps(self.FILE_MARK)[1:-1] in x or self.FILE_MARK in x for x in f):
+            if not any(json.dumps(self.FILE_MARK)[1:-1] in x or self.FILE_MARK in x.replace('": ', '":') for x in f):
                 raise ValueError("the tokenizer file has another word pattern")
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
