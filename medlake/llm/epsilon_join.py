@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from medlake.llm.components import connected_components
@@ -169,9 +169,12 @@ def join_blocks(t: pa.Table, least: float, eps: float) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[labels[some]])], names=["id", "links", "other"])
 
 
-def _joined(placed: DataFrame, blocks: int, least: float, eps: float, k: int) -> DataFrame:
-    ranged = placed.repartitionByRange(blocks, "cell", "id").sortWithinPartitions("cell", "id").withColumn("block", F.spark_partition_id())
-    ranged = materialize(ranged, "sequence")
+def _joined(placed: DataFrame, blocks: int, size: int, least: float, eps: float, k: int) -> DataFrame:
+    parts = materialize(placed.repartitionByRange(blocks, "cell", "id").withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
+    base = parts.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("cell", "id")) - 1 + F.col("_base")
+    ranged = materialize(parts.join(base, "_part").withColumn("block", F.floor(place / size).cast("int")).drop("_part", "_base"), "sequence")
 
     def boxes(batches: Batches) -> Batches:
         seen: dict[int, list[np.ndarray]] = {}
@@ -232,7 +235,7 @@ def near_vectors(rows: DataFrame, least: float = 0.9, id_col: str = "vec_id", ve
     for size, count in classes.groupBy(F.octet_length("unit")).count().collect():  # one row for each vector length
         own = classes.where(F.octet_length("unit") == size)
         axes = principal_axes(own, size // 8, min(AXES, size // 8))
-        parts.append(_joined(_placed(own, axes, eps), max(1, -(-count // block)), least, eps, axes.shape[1]))
+        parts.append(_joined(_placed(own, axes, eps), max(1, -(-count // block)), block, least, eps, axes.shape[1]))
     found = parts[0] if parts else units.limit(0).select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("other"))
     for p in parts[1:]:
         found = found.union(p)
