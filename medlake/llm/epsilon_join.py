@@ -134,17 +134,21 @@ def ego_pairs(a: _Side, b: _Side, same: bool, least: float, eps: float) -> Itera
         stack += [x for x in parts if not same or x[0] < x[3]]
 
 
-def _forest(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest labels spread over links (u, v) until stable."""
+def _forest(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Labels after links (u, v): the root of every linked tree hangs on a smaller one until none is crossed.
+
+    Roots are their own labels, and all labels are roots, before and after; so links of
+    earlier calls hold for all members of a tree, not only for those linked now.
+    """
+    labels = labels.copy()
     while True:
-        low = np.minimum(labels[u], labels[v])
-        new = labels.copy()
-        np.minimum.at(new, u, low)
-        np.minimum.at(new, v, low)
-        new = new[new]
-        if (new == labels).all():
-            return labels, low
-        labels = new
+        a, b = labels[u], labels[v]
+        cross = a != b
+        if not cross.any():
+            return labels
+        np.minimum.at(labels, np.maximum(a, b)[cross], np.minimum(a, b)[cross])
+        while ((up := labels[labels]) != labels).any():
+            labels = up
 
 
 def join_blocks(t: pa.Table, least: float, eps: float) -> pa.RecordBatch | None:
@@ -162,7 +166,7 @@ def join_blocks(t: pa.Table, least: float, eps: float) -> pa.RecordBatch | None:
         links[i : i + hit.shape[0]] += hit @ b.n[k : k + hit.shape[1]]
         links[shift + k : shift + k + hit.shape[1]] += a.n[i : i + hit.shape[0]] @ hit
         u, v = np.nonzero(hit)
-        labels, _ = _forest(labels, u + i, v + k + shift)
+        labels = _forest(labels, u + i, v + k + shift)
     some = links > 0
     if not some.any():
         return None

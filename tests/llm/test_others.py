@@ -105,6 +105,21 @@ def test_epsilon_join_matches_brute_force(spark):
     assert epsilon_join.near_vectors(df.limit(0)).count() == 0
 
 
+def test_links_of_earlier_leaves_stay(spark):
+    """Sparse chains of several thousand vectors: most trees are met in more than one leaf."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 1, 16)) + np.cumsum(0.35 * rng.normal(size=(60, 50, 16)), axis=1)
+    x = x.reshape(-1, 16)[rng.permutation(3000)].astype(np.float32).astype(float)
+    a = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = np.triu(a @ a.T >= 0.9, 1)
+    links = hit.sum(0) + hit.sum(1)
+    comp = components(list(range(len(x))), [(int(i), int(j)) for i, j in zip(*np.nonzero(hit))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for block in (4096, 700):
+        got = {r.vec_id: r for r in epsilon_join.near_vectors(df, 0.9, block=block).collect()}
+        assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (links[i], comp[i], comp[i] == i) for i in range(len(x))}
+
+
 def test_order_minhash(spark):
     rows = awkward([("the quick brown fox jumps over the lazy dog " * 20, "en", "s", 1, "z", 1, "r"), (" ".join(f"w{i}" for i in range(400)), "en", "s", 1, "z", 1, "r")])
     got = {r.doc_id: r for r in order_minhash.compare_edits(documents(spark, rows).repartition(4), ranges=5).collect()}
