@@ -185,10 +185,10 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _blocks(rows: DataFrame, weight: str, limit: int, payload: list[str]) -> DataFrame:
-    """Rows of each hub's group dealt to blocks of about ``limit`` weight, once for each pair of blocks."""
+def _blocks(rows: DataFrame, weight: str, limit: int, payload: list[str], least: int) -> DataFrame:
+    """Rows of each hub's group of ``least`` rows or more dealt to blocks of about ``limit`` weight, once for each pair of blocks."""
     total = rows.groupBy("hub").agg(F.sum(weight).alias("w"), F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    total = total.where("n > 2 and lo <> hi").select("hub", F.ceil(F.col("w") / limit).alias("blocks"))
+    total = total.where((F.col("n") >= least) & (F.col("lo") != F.col("hi"))).select("hub", F.ceil(F.col("w") / limit).alias("blocks"))
     rows = rows.join(total, "hub").withColumn("block", F.pmod(F.xxhash64("id", "hub"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return rows.select("hub", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "id", "component", *payload)
@@ -212,7 +212,8 @@ def _partners(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
 def _open_rows(groups: DataFrame, reps: DataFrame, comp: DataFrame, cut: float) -> DataFrame:
     """(hub, id) rows that have a likely partner of another component in their hub's group."""
     rows = groups.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")).withColumn("one", F.lit(1))
-    rows = _dealt(_blocks(rows, "one", BLOCK_ROWS, []).join(reps.select("id", "n_shingles", "regs"), "id").select("hub", "bi", "bj", "block", "id", "component", "n_shingles", "regs"))
+    # a hub and one member are compared already
+    rows = _dealt(_blocks(rows, "one", BLOCK_ROWS, [], 3).join(reps.select("id", "n_shingles", "regs"), "id").select("hub", "bi", "bj", "block", "id", "component", "n_shingles", "regs"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 3):
@@ -237,7 +238,7 @@ def _open_rows(groups: DataFrame, reps: DataFrame, comp: DataFrame, cut: float)
 def _open_links(rows: DataFrame, tables: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components in each hub's group, on full sets; one for a row and component."""
     full = rows.join(tables, "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")).withColumn("w", F.octet_length("shingles"))
-    dealt = _dealt(_blocks(full, "w", BLOCK_BYTES, ["shingles"]))
+    dealt = _dealt(_blocks(full, "w", BLOCK_BYTES, ["shingles"], 2))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 3):

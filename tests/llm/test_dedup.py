@@ -62,6 +62,15 @@ def test_chain_of_links_that_no_hub_sees(spark):
     assert got == near_components({r[0]: r[1] for r in rows}, 2)
 
 
+def test_two_open_rows_without_their_hub_are_verified(spark):
+    """Open rows 5 and 6 of hub 1, which is unlike both; and a pair below the threshold."""
+    sets = {5: range(100), 6: range(5, 105), 8: range(200, 300), 9: range(250, 350)}
+    tables = spark.createDataFrame([(i, np.array(s, np.uint64).tobytes()) for i, s in sets.items()], "id long, shingles binary")
+    rows = spark.createDataFrame([(1, 5), (1, 6), (2, 8), (2, 9)], "hub long, id long")
+    comp = spark.createDataFrame([], "id long, component long")
+    assert {(min(r), max(r)) for r in md._open_links(rows, tables, comp, 80).collect()} == {(5, 6)}
+
+
 def test_empty_and_null_ids(spark):
     assert md.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert sd.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
