@@ -1,7 +1,7 @@
 """Similarity search, bank projection, alignment and centroid analysis over (id, v) tables.
 
-``v`` is array<double>.  Work over a large bank is done in blocks: each partition keeps its
-own best rows for a set of queries that is small and checked, and a window merges them.
+``v`` is array<double>.  A search is done in blocks of both sides: each pair of blocks keeps
+its own best rows for its queries, and a window merges them.
 """
 
 from __future__ import annotations
@@ -10,45 +10,87 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medlake.functions.vectors import dot, mean_vector, norm, normalize
 
-MAX_QUERIES = 200_000
+#: Queries a task holds; rows of either side in one product.
+QUERY_BLOCK, TILE = 8192, 2048
+#: Tasks of a search at most; beyond, a task takes several pairs of blocks, one after the other.
+MAX_TASKS = 8192
+
+
+class _Best:
+    """The k best bank rows so far of a few queries, ties to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, metric: str, digits: int):
+        self.ids, self.q, self.k, self.metric, self.digits = ids, q, k, metric, digits
+        self.row, self.bank, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(len(ids), -np.inf)
+
+    def add(self, bank: np.ndarray, x: np.ndarray) -> None:
+        s = self.q @ x.T
+        if self.metric == "l2":
+            s = -((self.q * self.q).sum(1)[:, None] - 2 * s + (x * x).sum(1)[None, :])
+        least = self.least
+        if s.shape[1] > self.k and np.isinf(least).any():
+            least = np.fmax(least, -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1])
+        row, col = np.nonzero(~(s < least[:, None] - 2 * 10.0**-self.digits))  # more than rounding can move; NaN stays
+        row, bank, score = np.append(self.row, row), np.append(self.bank, bank[col]), np.append(self.score, np.round(s[row, col], self.digits))
+        order = np.lexsort((bank, -score, row))
+        first = np.searchsorted(row[order], np.arange(len(self.ids)))
+        order = order[np.arange(len(order)) - first[row[order]] < self.k]
+        self.row, self.bank, self.score = row[order], bank[order], score[order]
+        full = np.bincount(self.row, minlength=len(self.ids)) == self.k
+        last = np.searchsorted(self.row, np.arange(len(self.ids)), "right") - 1
+        self.least[full] = np.nan_to_num(self.score[last[full]], nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.row]), pa.array(self.bank), pa.array(self.score)], names=["query_id", "bank_id", "score"])
 
 
 def top_k(queries: DataFrame, bank: DataFrame, k: int, metric: str = "dot", digits: int = 9) -> DataFrame:
     """(query_id, bank_id, score, rank): the ``k`` best bank rows of each query, ties to the smaller id.
 
-    Scores are dots, or negated squared distances for ``metric="l2"``.  The query side is
-    counted and must be small; it goes to every partition, which returns k rows a query.
+    Scores are dots, or negated squared distances for ``metric="l2"``.  Blocks of queries
+    meet parts of the bank, each pair in one task, which returns k rows a query at most; a
+    window merges them.  The bank is cut only while query blocks are fewer than twice the
+    cores, so these rows grow with the queries alone.  Neither side is collected.
     """
-    rows = queries.select("query_id", "v").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: search them in parts")
-    ids = np.array([r[0] for r in rows], np.int64)
-    matrix = np.array([r[1] for r in rows], float) if rows else np.zeros((0, 0))
-    shared = bank.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_ids, q = shared.value
-        best_s, best_i = np.full((len(q_ids), 0), 0.0), np.full((len(q_ids), 0), 0)
-        for b in batches:
-            if b.empty or not len(q_ids):
+    n_q = max(1, -(-queries.count() // QUERY_BLOCK))
+    n_b = -(-2 * bank.sparkSession.sparkContext.defaultParallelism // n_q)
+    tile = TILE
+    dealt = lambda id_, n: F.pmod(F.xxhash64(id_), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    side = lambda rows, id_, n, qb, bb: rows.select(qb.alias("qb"), bb.alias("bb"), F.lit(n).alias("side"), F.col(id_).cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    both = side(queries, "query_id", 0, dealt("query_id", n_q), every(n_b)).union(side(bank, "bank_id", 1, every(n_q), dealt("bank_id", n_b)))
+    both = both.repartition(min(n_q * n_b, MAX_TASKS), "qb", "bb").sortWithinPartitions("qb", "bb", "side")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[_Best] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = np.stack(b["v"].to_numpy())
-            s = q @ x.T
-            if metric == "l2":
-                s = -((q * q).sum(1)[:, None] - 2 * s + (x * x).sum(1)[None, :])
-            s = np.concatenate([best_s, np.round(s, digits)], 1)
-            i = np.concatenate([best_i, np.tile(b["bank_id"].to_numpy(), (len(q_ids), 1))], 1)
-            order = np.lexsort((i, -s))[:, :k]
-            best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        n = best_s.shape[1]
-        yield pd.DataFrame({"query_id": np.repeat(q_ids, n), "bank_id": best_i.reshape(-1), "score": best_s.reshape(-1)})
-
-    found = bank.select("bank_id", "v").mapInPandas(local, "query_id long, bank_id long, score double")
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if tuple(keys[s, :2]) != last:
+                    yield from (h.batch() for h in held)
+                    held, last = [], tuple(keys[s, :2])
+                for i in range(s, e, tile):
+                    part = batch.slice(i, min(tile, e - i))
+                    ids, x = part.column(3).to_numpy(), part.column(4).flatten().to_numpy().reshape(part.num_rows, -1)
+                    if keys[s, 2] == 0:
+                        held.append(_Best(ids, x, k, metric, digits))
+                    else:
+                        for h in held:
+                            h.add(ids, x)
+        yield from (h.batch() for h in held)
+
+    found = both.mapInArrow(work, "query_id long, bank_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "bank_id")
     return found.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 

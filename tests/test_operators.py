@@ -113,6 +113,29 @@ def test_top_k_rerank(spark):
     assert vectors.top_k(q.limit(0), b, 2).count() == 0
 
 
+def test_top_k_of_many_queries(spark):
+    q = spark.range(200_001).select(F.col("id").alias("query_id"), F.array(F.cos("id"), F.sin("id")).alias("v"))
+    b = spark.createDataFrame([(i, [x, 0.0]) for i, x in enumerate((1.0, -1.0, 0.5))], "bank_id long, v array<double>")
+    r = vectors.top_k(q, b, 1).agg(F.count("*"), F.count_distinct("query_id"), F.count_if(F.col("bank_id") == 0), F.count_if(F.col("bank_id") == 1)).first()
+    up = q.where(F.col("v")[0] > 0).count()
+    assert tuple(r) == (200_001, 200_001, up, 200_001 - up)
+
+
+def test_top_k_blocks_match_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(-2, 3, (70, 4)).astype(float), rng.integers(-2, 3, (50, 4)).astype(float)  # many ties
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "query_id long, v array<double>")
+    b = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "bank_id long, v array<double>")
+    for name, n in (("QUERY_BLOCK", 16), ("TILE", 7)):
+        monkeypatch.setattr(vectors, name, n, raising=False)
+    for metric, s in (("dot", x @ y.T), ("l2", -((x[:, None] - y[None]) ** 2).sum(2))):
+        for k in (1, 5, 60):
+            want = {(i, int(j), s[i, j], r + 1) for i in range(70) for r, j in enumerate(np.lexsort((np.arange(50), -s[i]))[:k])}
+            assert {tuple(r) for r in vectors.top_k(q, b, k, metric).collect()} == want
+
+
 def test_projection_is_one_product(spark):
     import numpy as np
 
