@@ -38,15 +38,16 @@ def hops(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
     return seen
 
 
-def ground(phrases: DataFrame, terms: DataFrame, longest: int = 6) -> DataFrame:
+def ground(phrases: DataFrame, terms: DataFrame) -> DataFrame:
     """(phrase_id, outcome, node): the one node a phrase names.
 
-    Terms with several nodes are ambiguous and unused.  Token spans that equal a term are
-    kept unless a longer kept span contains them.  A phrase is grounded if its spans name
+    Terms with several nodes are ambiguous and unused.  Token spans that equal a term, of
+    any length, are kept unless a longer kept span contains them.  A phrase is grounded if its spans name
     one node, and the span has two tokens or is the whole phrase.
     """
     t = terms.select(F.array_join(tokens(F.col("term")), " ").alias("gram"), "node").where("gram <> ''").distinct()
     t = t.groupBy("gram").agg(F.min("node").alias("node"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    longest = t.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
     p = phrases.select("phrase_id", tokens(F.col("phrase")).alias("w"))
     span = p.select("phrase_id", F.size("w").alias("size"), "w", F.posexplode("w").alias("s", "_w"))
     span = span.select("phrase_id", "size", "s", "w", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("size") - F.col("s")))).alias("n"))

@@ -113,6 +113,13 @@ def test_top_k_rerank(spark):
     assert vectors.top_k(q.limit(0), b, 2).count() == 0
 
 
+def test_ground_long_terms(spark):
+    terms = spark.createDataFrame([("a b c d e f g h", 1), ("c d", 2)], "term string, node long")
+    phrases = spark.createDataFrame([(1, "x a b c d e f g h"), (2, "c d y")], "phrase_id long, phrase string")
+    assert {r.phrase_id: r.node for r in ontology.ground(phrases, terms).collect()} == {1: 1, 2: 2}
+    assert [r.outcome for r in ontology.ground(phrases.limit(1), terms.limit(0)).collect()] == ["no_term"]
+
+
 def test_top_k_of_many_queries(spark):
     q = spark.range(200_001).select(F.col("id").alias("query_id"), F.array(F.cos("id"), F.sin("id")).alias("v"))
     b = spark.createDataFrame([(i, [x, 0.0]) for i, x in enumerate((1.0, -1.0, 0.5))], "bank_id long, v array<double>")
