@@ -6,9 +6,10 @@ language.  Both are trained together by stochastic gradient descent in numpy on
 driver, from a bounded sample of labelled rows.  As mean and softmax weights are linear,
 prediction needs one small table of buckets by languages, of fixed size.
 
-Scores are temperature-scaled on rows of the sample that training doesn't see.  There,
-too, the rejection threshold is set: the quantile ``reject`` of the scores of rows that
-are predicted right, so that about that share of clean rows is lost.
+Scores are temperature-scaled on rows of the sample that training doesn't see, so that a
+score is the chance that the language is right.  A text is rejected if that chance is
+below ``least``: at one half, if it is likelier wrong than right.  If the sample is so
+small that no row is left for it, the temperature comes from the training rows.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medlake.llm.words import BYTE_BASE, CODES, SEPARATOR, U, _sums, mix, powers, string_bytes, text_slices
+from medlake.llm.words import SEPARATOR, string_bytes, text_slices, tidy
 
 BITS, DIM, GRAMS = 16, 12, (2, 3, 4)
-TRAIN_ROWS, PIECE_WORDS, PIECES, EPOCHS, BATCH, RATE = 3000, 25, 30_000, 3, 32, 1.0
-_codes = CODES[True].copy()
-_codes[SEPARATOR] = _codes[0x20]
+TRAIN_ROWS, PIECE_WORDS, EPOCHS, BATCH, RATE, LEAST = 3000, 25, 3, 32, 1.0, 0.5
+_fold = np.arange(256, dtype=np.uint8)
+_fold[65:91] += 32
+_fold[SEPARATOR] = 0x20
 
 
 @dataclass
@@ -35,32 +37,38 @@ class Model:
     langs: list[str]
     table: np.ndarray  # buckets x languages
     temperature: float
-    threshold: float
+    least: float
 
 
-def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each subword of each text, in runs by n-gram size, and the text of each."""
+def features(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n-gram size: the bucket of each subword, text by text, and how many each text has."""
     buffer = np.insert(data, np.concatenate([at[:-1], at[-1:]]), 0x20)
     begin = at + np.arange(len(at))  # a border before each text, and one at the end
     border = SEPARATOR[buffer]
-    seps = np.concatenate([[0], np.cumsum(border)])
-    sums = _sums(_codes[buffer], BYTE_BASE)
-    down = powers(BYTE_BASE, len(buffer))[1]
-    buckets, texts = [], []
-    for n in GRAMS:
-        i = np.arange(max(0, len(buffer) - n + 1))
-        inside = seps[i + n - 1] - seps[i + 1] == 0
-        i = i[inside & ~(border[i] & border[i + n - 1] & (n == 2))]
-        buckets.append((mix((sums[i + n] - sums[i]) * down[i], n) >> U(64 - BITS)).astype(np.int32))
-        texts.append(np.searchsorted(begin, i, "right") - 1)
-    return np.concatenate(buckets), np.concatenate(texts)
+    folded = _fold[buffer].astype(np.uint32)
+    packed = folded.copy()
+    for n in range(2, max(GRAMS) + 1):
+        packed = packed[:-1] | folded[n - 1 :] << np.uint32(8 * (n - 1))  # its bytes are the subword
+        if n not in GRAMS:
+            continue
+        inside = np.ones(len(packed), bool)
+        for j in range(1, n - 1):
+            inside &= ~border[j : j + len(packed)]
+        if n == 2:
+            inside &= ~(border[:-1] & border[1:])
+        counts = np.concatenate([[0], np.cumsum(inside)])[np.minimum(begin, len(inside))]
+        yield ((packed[inside] ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA77)) >> np.uint32(32 - BITS), np.diff(counts)
 
 
 def logits(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
-    bucket, text = features(data, at)
-    n = len(at) - 1
-    count = np.maximum(np.bincount(text, minlength=n), 1)
-    return np.stack([np.bincount(text, table[bucket, c], n) for c in range(table.shape[1])], 1) / count[:, None]
+    """Mean of the table's rows over the subwords of each text; zeros for a text without any."""
+    total, size = np.zeros((len(at) - 1, table.shape[1])), np.zeros(len(at) - 1, np.int64)
+    for bucket, counts in features(data, at):
+        some = np.flatnonzero(counts)
+        if len(some):
+            total[some] += np.add.reduceat(table[bucket], (np.cumsum(counts) - counts)[some], axis=0)
+        size += counts
+    return total / np.maximum(size, 1)[:, None]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -72,12 +80,12 @@ def _buffers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return string_bytes(pa.array(texts, pa.large_string()))
 
 
-def fit(texts: list[str], labels: list[str], reject: float = 0.001, seed: int = 0) -> Model:
-    """Train on four fifths of the rows, calibrate on the others; rows in any order give the same model."""
+def fit(texts: list[str], labels: list[str], least: float = LEAST, seed: int = 0) -> Model:
+    """Train on all words of four fifths of the rows, calibrate on the others; rows in any order give the same model."""
     rows = sorted(zip(texts, labels))
     langs = sorted(set(labels))
     if not langs:
-        return Model([], np.zeros((1 << BITS, 0)), 1.0, 0.0)
+        return Model([], np.zeros((1 << BITS, 0)), 1.0, least)
     rng = np.random.default_rng(seed)
     y = np.array([langs.index(lang) for _, lang in rows])
     held = rng.random(len(rows)) < 0.2
@@ -88,16 +96,17 @@ def fit(texts: list[str], labels: list[str], reject: float = 0.001, seed: int =
         for s in range(0, len(words), PIECE_WORDS):
             pieces.append(" ".join(words[s : s + PIECE_WORDS]))
             target.append(y[i])
-    chosen = rng.permutation(len(pieces))[:PIECES]
     vectors, weights = rng.normal(0, 0.1, (1 << BITS, DIM)), np.zeros((DIM, len(langs)))
-    steps = EPOCHS * -(-len(chosen) // BATCH)
+    steps = EPOCHS * -(-len(pieces) // BATCH)
     step = 0
     for _ in range(EPOCHS):
-        turn = rng.permutation(chosen)
+        turn = rng.permutation(len(pieces))
         for s in range(0, len(turn), BATCH):
             b = turn[s : s + BATCH]
-            flat, owner = features(*_buffers([pieces[i] for i in b]))  # afresh each time: memory stays that of a batch
-            ids, n = flat[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(b))
+            found = list(features(*_buffers([pieces[i] for i in b])))  # afresh each time: memory stays that of a batch
+            ids = np.concatenate([bucket for bucket, _ in found])
+            owner = np.concatenate([np.repeat(np.arange(len(b)), counts) for _, counts in found])
+            ids, n = ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(b))
             mean = np.add.reduceat(vectors[ids], np.cumsum(n) - n) / n[:, None]
             slope = softmax(mean @ weights)
             slope[np.arange(len(b)), [target[i] for i in b]] -= 1
@@ -111,11 +120,7 @@ def fit(texts: list[str], labels: list[str], reject: float = 0.001, seed: int =
     z = np.concatenate([logits(*_buffers([rows[i][0]]), table) for i in check])
     goal = y[check]
     loss = lambda t: -np.mean(np.log(softmax(z / t)[np.arange(len(goal)), goal] + 1e-300))
-    temperature = min(np.geomspace(0.25, 20, 89), key=loss)
-    p = softmax(z / temperature)
-    right = p.max(1)[p.argmax(1) == goal]
-    threshold = float(np.quantile(right, reject)) if len(right) else 0.0
-    return Model(langs, table, float(temperature), min(threshold, 0.5))
+    return Model(langs, table, float(min(np.geomspace(0.25, 20, 89), key=loss)), least)
 
 
 def held_out(id_col: Column) -> Column:
@@ -123,13 +128,13 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, reject: float = 0.001, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on at most about ``rows`` labelled rows that aren't held out, chosen by a hash of their id."""
     own = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     n = own.count()
     place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), F.lit(1 << 30))
     sample = own.where(place < int(min(1.0, rows / max(n, 1)) * (1 << 30))).select(text_col, lang_col).collect()
-    return fit([r[0] for r in sample], [r[1] for r in sample], reject)
+    return fit([r[0] for r in sample], [r[1] for r in sample], least)
 
 
 def scores(column: pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,7 +151,7 @@ def scores(column: pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarr
         if m.langs:
             p = softmax(logits(part, bounds, m.table) / m.temperature)
             best[i:j], score[i:j] = np.where(known, p.argmax(1), len(m.langs)), np.where(known, p.max(1), 0.0)
-    return names[best], score, (best < len(m.langs)) & (score >= m.threshold)
+    return names[best], score, (best < len(m.langs)) & (score >= m.least)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,7 +168,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(taken)], names=["id", "lang_pred", "score", "accepted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, "id long, lang_pred string, score double, accepted boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(work), "id long, lang_pred string, score double, accepted boolean").withColumnRenamed("id", id_col)
 
 
 def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -175,7 +180,7 @@ def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(at), shared.value)[2]))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidy(work), docs.schema)
 
 
 def crc32_text(value: int) -> int:

@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from medlake.llm import setsketch as ss
 from medlake.llm.components import connected_components
-from medlake.llm.words import U, mix, split_words, string_bytes, text_slices, window_starts, window_hash
+from medlake.llm.skew import join_classes
+from medlake.llm.words import U, digests, split_words, string_bytes, text_slices, tidy, window_hash, window_starts
 from medlake.plans.shared import discard, materialize
 
 BLOCK_ROWS, BLOCK_BYTES, BITMAP_BITS = 4096, 32 << 20, 1 << 24
@@ -59,12 +60,6 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray,
     return h, np.searchsorted(text, np.arange(len(n) + 1))
 
 
-def _set_sums(h: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
-    sums = np.zeros(len(h) + 1, U)
-    np.cumsum(mix(h, salt), out=sums[1:])
-    return (sums[first[1:]] - sums[first[:-1]]).view(np.int64)
-
-
 def _binary(rows: np.ndarray) -> pa.Array:
     width = rows.shape[1] * rows.itemsize
     at = np.arange(len(rows) + 1, dtype=np.int32) * width
@@ -79,13 +74,14 @@ def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "tex
             data, at = string_bytes(batch.column(1))
             for i, j, part, bounds in text_slices(data, at):
                 h, first = shingle_sets(part, bounds, k)
+                h1, h2 = digests(h, first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], pa.array(np.diff(first)), pa.array(_set_sums(h, first, 21)), pa.array(_set_sums(h, first, 22)), _binary(ss.registers(h, first))],
+                    [batch.column(0)[i:j], pa.array(np.diff(first)), pa.array(h1), pa.array(h2), _binary(ss.registers(h, first))],
                     names=["id", "n_shingles", "h1", "h2", "regs"],
                 )
 
     schema = "id long, n_shingles long, h1 long, h2 long, regs binary"
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(work), schema)
 
 
 def _band_keys(regs: Column) -> Column:
@@ -109,7 +105,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, cut: float) -> DataFrame:
                 keep = ss.joint_jaccard(_registers(batch.column(4)), _registers(batch.column(5)), na.astype(float), nb.astype(float)) >= cut
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
-    return full.mapInArrow(work, "a long, b long")
+    return full.mapInArrow(tidy(work), "a long, b long")
 
 
 def _shingle_tables(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -142,8 +138,8 @@ def _shingle_tables(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str,
                 h, _ = shingle_sets(raw, np.array([0, len(raw)]), k)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[row : row + 1], pa.array([h.tobytes()], pa.binary())], names=["id", "shingles"])
 
-    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("slot", slot).mapInArrow(squeeze, "id long, text binary")
-    return packed.join(ids, "id", "left_semi").mapInArrow(sets, "id long, shingles binary")
+    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("slot", slot).mapInArrow(tidy(squeeze), "id long, text binary")
+    return packed.join(ids, "id", "left_semi").mapInArrow(tidy(sets), "id long, shingles binary")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -163,7 +159,7 @@ def _verify(pairs: DataFrame, tables: DataFrame, percent: int) -> DataFrame:
             m = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(m), batch.column(1).filter(m)], names=["a", "b"])
 
-    return full.mapInArrow(work, "a long, b long")
+    return full.mapInArrow(tidy(work), "a long, b long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -232,7 +228,7 @@ def _open_rows(groups: DataFrame, reps: DataFrame, comp: DataFrame, cut: float)
             if needed.any():
                 yield pa.RecordBatch.from_arrays([t.column("hub").combine_chunks().filter(pa.array(needed)), pa.array(ids[needed])], names=["hub", "id"])
 
-    return rows.mapInArrow(work, "hub long, id long").distinct()
+    return rows.mapInArrow(tidy(work), "hub long, id long").distinct()
 
 
 def _open_links(rows: DataFrame, tables: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
@@ -263,7 +259,7 @@ def _open_links(rows: DataFrame, tables: DataFrame, comp: DataFrame, percent: in
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(work, "a long, b long")
+    return dealt.mapInArrow(tidy(work), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,8 +274,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     cut = percent / 100 - 4 * math.sqrt(percent / 100 * (1 - percent / 100) / ss.M)
     sk = materialize(sketch(docs, shingle, id_col, text_col), "sketch")
     some = sk.where("n_shingles > 0 and id is not null").select("id", "n_shingles", "h1", "h2")
-    many = some.groupBy("n_shingles", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = materialize(some.join(many, ["n_shingles", "h1", "h2"]).select("id", "rep"), "copies")
+    many = materialize(some.groupBy("n_shingles", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "classes")
+    copies = materialize(join_classes(some, many, ["n_shingles", "h1", "h2"]).select("id", "rep"), "copies")
     reps = materialize(sk.where("n_shingles > 0 and id is not null").select("id", "n_shingles", "regs").join(copies.where("id <> rep"), "id", "left_anti"), "reps")
 
     bands = reps.select("id", F.explode(_band_keys(F.col("regs"))).alias("key"))
@@ -297,7 +293,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     more = materialize(_open_links(rows, tables.union(rest), comp, percent), "links")
     if not more.isEmpty():
         comp = connected_components(links.union(more))
-    discard(star, likely, tables, rest)
+    discard(many, star, likely, tables, rest, links, more)
 
     full = sk.select("id", "n_shingles").join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     full = full.join(comp.toDF("rep", "component"), "rep", "left")

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medlake.llm.word_tokens import word_ids
+from medlake.llm.words import tidy
 from medlake.plans.shared import materialize
 
 END_ID = 1
@@ -43,7 +44,7 @@ def tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["id", "source", "n_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, "id long, source string, n_tokens long, ids binary")
+    return rows.mapInArrow(tidy(work), "id long, source string, n_tokens long, ids binary")
 
 
 def prefix_sum(rows: DataFrame, within: list[str], order: list[str], value: str, out: str) -> DataFrame:
@@ -118,7 +119,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, packet: int = 256, shar
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    pieces = full.mapInArrow(cut, "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    pieces = full.mapInArrow(tidy(cut), "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return pieces.withColumnRenamed("id", id_col)
 
 

@@ -6,14 +6,16 @@ A window of ``length`` words is removed if it also starts in a text with a small
   words.  Any shared window holds a whole block of the other text, so probing the blocks
   with every rolling window of the block's size finds each shared window.
 * Hits are extended to both sides to all full-length windows that hold one; of these the
-  smallest id that has each is settled exactly, by 64-bit hashes.  Adjoining windows
-  that repeat make up the maximal exact repeats, whose words go.
+  smallest id that has each is settled by two independent 64-bit hashes.  Adjoining
+  windows that repeat make up the maximal exact repeats, whose words go.  (Extending each
+  hit against each text that has the block would give the same words by pairs of texts,
+  of which a common passage has too many.)
 
 Layout.  Texts are written once, in compressed chunks of a few MB.  A chunk sends its
 distinct hashes to the partition that owns their leading bits, as one sorted array for
 each partition, and gets back one bit for each hash.  Arrays hold a hash once for a
 chunk, however often it occurs, so frequent lines and groups of copies weigh no more
-than rare ones; 4 bytes a rolling window and about 10 a window that holds a hit is all
+than rare ones; 4 bytes a rolling window and about 18 a window that holds a hit is all
 that moves.  The probe compares 32 bits beyond the partition's, which may only add hits
 to settle.  Exact copies of a whole text are known from its fingerprint and skip the
 second exchange.
@@ -30,7 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medlake.llm.words import SEPARATOR, U, Words, mix, split_words, string_bytes, window_hash, window_starts
+from medlake.llm.skew import join_classes
+from medlake.llm.words import SEPARATOR, U, Words, digests, split_words, string_bytes, tidy, window_hash, window_starts
 from medlake.plans.shared import materialize
 
 CHUNK_BYTES, PART_BYTES = 2 << 20, 16 << 20
@@ -63,6 +66,7 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
+WINDOWS = "part int, chunk long, found binary, other binary, own binary"
 CHUNK = "chunk long, size long, ids array<long>, words array<long>, s1 array<long>, s2 array<long>, at binary, text binary"
 
 
@@ -80,12 +84,7 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             nonlocal made, held
             data, at = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
             w = split_words(data, at)
-            place = mix(np.arange(len(w.hash), dtype=U) - np.repeat(w.first[:-1], w.count()).astype(U), 31)
-            sums = []
-            for salt in (32, 33):
-                c = np.zeros(len(w.hash) + 1, U)
-                np.cumsum(mix(w.hash ^ place, salt), out=c[1:])
-                sums.append((c[w.first[1:]] - c[w.first[:-1]]).view(np.int64).tolist())
+            sums = [h.tolist() for h in digests(np.stack([w.hash, w.other], 1), w.first)]
             row = ((TaskContext.get().partitionId() << 32) + made, len(data), ids[:], w.count().tolist(), *sums, at.tobytes(), z.compress(data.tobytes()))
             made, held = made + 1, 0
             ids.clear(), parts.clear(), sizes.clear()
@@ -107,7 +106,7 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         if ids:
             yield emit()
 
-    return docs.mapInArrow(work, CHUNK)
+    return docs.mapInArrow(tidy(work), CHUNK)
 
 
 class _Chunk:
@@ -141,8 +140,8 @@ class _Chunk:
             done += len(v)
         return out
 
-    def candidates(self, hits: dict[int, bytes], copies: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, texts and hashes of the full-length windows that hold a hit; whole copies have none."""
+    def candidates(self, hits: dict[int, bytes], copies: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, texts and both hashes of the full-length windows that hold a hit; whole copies have none."""
         values, back = np.unique(self.roll, return_inverse=True)
         hit = self.replies(values, 32, hits)[back]
         mine, doc = self.roll[self.aligned], self.doc[self.aligned]
@@ -162,14 +161,24 @@ class _Chunk:
         start, doc = window_starts(self.words.first, self.length)
         some = sums[start + self.length - self.block + 1] > sums[start]
         start, doc = start[some], doc[some]
-        return start, doc, window_hash(self.words.hash, start, self.length)
+        return start, doc, window_hash(self.words.hash, start, self.length), window_hash(self.words.other, start, self.length, 1)
 
-    def owners(self, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes, the smallest id in this chunk for each, and each window's place among them."""
-        values, back = np.unique(h, return_inverse=True)
-        own = np.full(len(values), NO_ID, np.int64)
+    def owners(self, doc: np.ndarray, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs of hashes, the smallest id in this chunk for each, and each window's place among them."""
+        first, back = _distinct(h, g)
+        own = np.full(len(first), NO_ID, np.int64)
         np.minimum.at(own, back, self.ids[doc])
-        return values, own, back
+        return h[first], g[first], own, back
+
+
+def _distinct(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct pair, in order, and the number of each row's pair."""
+    order = np.lexsort((g, h))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(fresh) - 1
+    return order[fresh], back
 
 
 def _hits(batches: Batches) -> Batches:
@@ -200,16 +209,16 @@ def _hits(batches: Batches) -> Batches:
 
 def _firsts(batches: Batches) -> Batches:
     """For each part and chunk, a bit for each window that another chunk has in a smaller id."""
-    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+    held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
     part = None
 
     def settle() -> Batches:
-        v, own = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-        known, back = np.unique(v, return_inverse=True)
-        least = np.full(len(known), NO_ID, np.int64)
+        own = np.concatenate([h[3] for h in held])
+        first, back = _distinct(np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]))
+        least = np.full(len(first), NO_ID, np.int64)
         np.minimum.at(least, back, own)
         later, at = least[back] < own, 0
-        for chunk, values, _ in held:
+        for chunk, values, *_ in held:
             bits = later[at : at + len(values)]
             at += len(values)
             if bits.any():
@@ -222,7 +231,7 @@ def _firsts(batches: Batches) -> Batches:
                 yield from settle()
                 held = []
             part = p
-            held.append((chunk, _unpack_sorted(batch.column(2)[row].as_py(), U), _unpack(batch.column(3)[row].as_py(), np.int64)))
+            held.append((chunk, _unpack_sorted(batch.column(2)[row].as_py(), U), _unpack(batch.column(3)[row].as_py(), U), _unpack(batch.column(4)[row].as_py(), np.int64)))
     if held:
         yield from settle()
 
@@ -250,8 +259,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     bits = min(24, max(4, int(total / PART_BYTES).bit_length()))
 
     docs_of = chunks.select("chunk", F.explode(F.arrays_zip("ids", "words", "s1", "s2")).alias("d")).select("chunk", "d.*").where(F.col("words") >= length)
-    many = docs_of.groupBy("s1", "s2", "words").agg(F.min("ids").alias("rep"), F.max("ids").alias("last")).where("rep < last").drop("last")
-    copies = docs_of.join(many, ["s1", "s2", "words"]).where("ids > rep").groupBy("chunk").agg(F.collect_list("ids").alias("copies"))
+    many = docs_of.groupBy("s1", "s2", "words").agg(F.min("ids").alias("rep"), F.max("ids").alias("last"), F.count("*").alias("n")).where("rep < last").drop("last")
+    copies = join_classes(docs_of, materialize(many, "classes"), ["s1", "s2", "words"]).where("ids > rep").groupBy("chunk").agg(F.collect_list("ids").alias("copies"))
     copies = materialize(copies, "copies")
 
     def probe(batches: Batches) -> Batches:
@@ -262,8 +271,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                     yield _batch("part int, kind int, chunk long, found binary", [(part, kind, chunk, values)])
 
     stored = chunks.select("chunk", "ids", "at", "text")
-    sent = stored.mapInArrow(probe, "part int, kind int, chunk long, found binary")
-    found = sent.repartition("part").sortWithinPartitions("part", "kind", "chunk").mapInArrow(_hits, "chunk long, part int, bits binary")
+    sent = stored.mapInArrow(tidy(probe), "part int, kind int, chunk long, found binary")
+    found = sent.repartition("part").sortWithinPartitions("part", "kind", "chunk").mapInArrow(tidy(_hits), "chunk long, part int, bits binary")
     hits = materialize(_replies(found, "hits"), "hits")
 
     def windows(batches: Batches) -> Batches:
@@ -271,16 +280,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             for row in range(batch.num_rows):
                 chunk, ids, at, text, hit, copy = (batch.column(i)[row].as_py() for i in range(6))
                 c = _Chunk(ids, at, text, length, bits)
-                _, doc, h = c.candidates(_as_dict(hit), copy or [])
-                values, own, _ = c.owners(doc, h)
+                _, *found = c.candidates(_as_dict(hit), copy or [])
+                values, others, own, _ = c.owners(*found)
                 done = 0
                 for part, v in c.by_part(values, 64 - bits):
-                    yield _batch("part int, chunk long, found binary, own binary", [(part, chunk, _pack_sorted(v), _pack(own[done : done + len(v)]))])
+                    here = slice(done, done + len(v))
+                    yield _batch(WINDOWS, [(part, chunk, _pack_sorted(v), _pack(others[here]), _pack(own[here]))])
                     done += len(v)
 
     known = stored.join(hits, "chunk", "left").join(copies, "chunk", "left").select("chunk", "ids", "at", "text", "hits", "copies")
-    sent = known.mapInArrow(windows, "part int, chunk long, found binary, own binary")
-    found = sent.repartition("part").sortWithinPartitions("part", "chunk").mapInArrow(_firsts, "chunk long, part int, bits binary")
+    sent = known.mapInArrow(tidy(windows), WINDOWS)
+    found = sent.repartition("part").sortWithinPartitions("part", "chunk").mapInArrow(tidy(_firsts), "chunk long, part int, bits binary")
     firsts = materialize(_replies(found, "firsts"), "firsts")
 
     out_schema = "id long, n_words long, n_removed long, kept_text string"
@@ -290,9 +300,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             for row in range(batch.num_rows):
                 chunk, ids, at, text, hit, copy, first = (batch.column(i)[row].as_py() for i in range(7))
                 c = _Chunk(ids, at, text, length, bits)
-                start, doc, h = c.candidates(_as_dict(hit), copy or [])
-                values, own, back = c.owners(doc, h)
-                gone = c.replies(values, 64 - bits, _as_dict(first))[back] | (own[back] < c.ids[doc])
+                start, *found = c.candidates(_as_dict(hit), copy or [])
+                values, _, own, back = c.owners(*found)
+                gone = c.replies(values, 64 - bits, _as_dict(first))[back] | (own[back] < c.ids[found[0]])
                 w = c.words
                 cover = np.zeros(len(w.hash) + 1, np.int64)
                 np.add.at(cover, start[gone], 1)
@@ -302,7 +312,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays(_kept(c, keep, keep_clean), names=["id", "n_words", "n_removed", "kept_text"])
 
     last = known.join(firsts, "chunk", "left").select("chunk", "ids", "at", "text", "hits", "copies", "firsts")
-    out = last.mapInArrow(finish, out_schema)
+    out = last.mapInArrow(tidy(finish), out_schema)
     return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))).withColumnRenamed("id", id_col)
 
 

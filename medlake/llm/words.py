@@ -1,23 +1,25 @@
 """Vectorised word splitting and hashing over Arrow string buffers.
 
 Words are maximal runs of bytes other than space and 0x09-0x0D, which on UTF-8 equals
-the pattern ``[^\\x20\\x09-\\x0D]+`` on code points.  Hashes are 64-bit polynomial sums
-over random byte codes, finished by a bit mixer; they depend on the bytes alone, so any
-worker gives the same value.
+the pattern ``[^\\x20\\x09-\\x0D]+`` on code points.  A word's hash is a BLAKE2b digest of
+its bytes, made once for each distinct word of a slice; a window's hash is a tree of
+non-linear mixes of its words' hashes.  Both depend on the bytes alone, so any worker
+gives the same value; no regular sequence of letters or words cancels out in them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Odd multipliers of the polynomial sums over bytes and over words.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-SLICE_BYTES = 512 << 10
+SLICE_BYTES = 256 << 10
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -28,32 +30,15 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-_codes = mix(np.arange(256, dtype=U), 7)
-_lower = np.arange(256)
+def combine(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    """One hash of two, in this order."""
+    return mix(mix(a, salt) * U(0x9E3779B97F4A7C15) + (b ^ (b >> U(29))) * U(0xD6E8FEB86659FD93), salt)
+
+
+_lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
-CODES = {False: _codes, True: _codes[_lower]}
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
-        up, down = np.full(size, U(base)), np.full(size, U(pow(base, -1, 2**64)))
-        up[0] = down[0] = 1
-        have = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
-        if size <= 1 << 23:  # longer ones serve a single text and are not kept
-            _powers[base] = have
-    return have
-
-
-def _sums(values: np.ndarray, base: int) -> np.ndarray:
-    out = np.zeros(len(values) + 1, U)
-    np.cumsum(values * powers(base, len(values))[0][: len(values)], out=out[1:])
-    return out
 
 
 @dataclass
@@ -66,15 +51,11 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # texts + 1
+    other: np.ndarray  # a second, independent hash of each word
 
     def count(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all k-word windows, and the text of each; windows stay inside a text."""
-        at, text = window_starts(self.first, k)
-        return window_hash(self.hash, at, k), text
-
 
 def window_starts(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     n = np.maximum(np.diff(first) - k + 1, 0)
@@ -83,11 +64,21 @@ def window_starts(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return first[:-1][text] + inside, text
 
 
-def window_hash(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+def window_hash(hashes: np.ndarray, at: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """Hash of the ``k`` words from each place in ``at``: windows of 1, 2, 4, ... words are
+    combined from halves, and a window from those that make up its length."""
     if not len(at):
         return np.zeros(0, U)
-    sums = _sums(hashes, WORD_BASE)
-    return mix((sums[at + k] - sums[at]) * powers(WORD_BASE, len(hashes))[1][at], k)
+    level, size, done, out = hashes, 1, 0, None
+    while True:
+        if k & size:
+            part = level[at + done]
+            out = mix(part, salt + 100 + k) if out is None else combine(out, part, salt + 200)
+            done += size
+        if done == k:
+            return out
+        level = combine(level[:-size], level[size:], salt + 300)
+        size *= 2
 
 
 def split_words(data: np.ndarray, text_at: np.ndarray, lower: bool = False) -> Words:
@@ -100,9 +91,42 @@ def split_words(data: np.ndarray, text_at: np.ndarray, lower: bool = False) -> W
         before[inner[inner < len(word)]] = False
         after[inner[inner > 0] - 1] = False
     start, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    sums = _sums(CODES[lower][data], BYTE_BASE)
-    h = mix((sums[end] - sums[start]) * powers(BYTE_BASE, max(1, len(data)))[1][start], 1)
-    return Words(data, text_at, start, end, h, np.searchsorted(start, text_at))
+    if not len(start):
+        return Words(data, text_at, start, end, np.zeros(0, U), np.zeros(len(text_at), np.int64), np.zeros(0, U))
+    at = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=at[1:])
+    letters = (_lower[data] if lower else data)[word]
+    coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(letters)]).dictionary_encode()
+    known = np.frombuffer(b"".join(blake2b(x, digest_size=16).digest() for x in coded.dictionary.to_pylist()), U).reshape(-1, 2)
+    h = known[coded.indices.to_numpy()]
+    return Words(data, text_at, start, end, np.ascontiguousarray(h[:, 0]), np.searchsorted(start, text_at), np.ascontiguousarray(h[:, 1]))
+
+
+def digests(rows: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit digest, as two longs, of the bytes of each run of rows."""
+    raw, width = memoryview(rows.reshape(-1).view(np.uint8)), rows.dtype.itemsize * (rows.shape[1] if rows.ndim > 1 else 1)
+    at = (bounds * width).tolist()
+    both = np.zeros((len(at) - 1, 2), np.int64)
+    for i, (s, e) in enumerate(zip(at[:-1], at[1:])):
+        both[i] = np.frombuffer(blake2b(raw[s:e], digest_size=16).digest(), np.int64)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
+def tidy(work: Callable) -> Callable:
+    """A function over batches that hands freed memory back when its task ends, as workers live on."""
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,9 @@ from medlake.llm import minhash_dedup as md
 from medlake.llm import setsketch as ss
 from medlake.llm import substring_dedup as sd
 from medlake.llm.components import connected_components
-from medlake.llm.words import split_words, string_bytes
+from medlake.llm import skew
+from medlake.llm.words import split_words, string_bytes, window_hash
+from pyspark.sql import functions as F
 
 
 def corpus(seed: int, n: int = 60):
@@ -112,3 +114,38 @@ def test_clean_texts_can_stay_as_they_are(spark):
     rows = [(1, f"a\n\nb  {passage}", *[None] * 6), (2, f"c {passage} d", *[None] * 6), (3, "left\t alone ", *[None] * 6), (4, passage, *[None] * 6), (4, passage, *[None] * 6)]
     got = sorted((r.doc_id, r.n_removed, r.kept_text) for r in sd.remove_repeats(documents(spark, rows), keep_clean=True).collect())
     assert got == [(1, 0, f"a\n\nb  {passage}"), (2, 60, "c d"), (3, 0, "left\t alone "), (4, 60, ""), (4, 60, "")]
+
+
+def test_words_of_two_letters_do_not_collide():
+    """Sums over powers modulo 2**64 cancel out on this pair, whatever the codes of a and b are."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    w = split_words(*string_bytes(pa.array([f"{a} {b}"], pa.string())))
+    assert w.hash[0] != w.hash[1] and w.other[0] != w.other[1]
+    words = np.array([w.hash[0], w.hash[1]])[[int(bin(i).count("1") % 2) for i in range(64)]]
+    flipped = words[::-1]
+    for k in (2, 5, 50, 64):
+        one, two = window_hash(words, np.array([0]), k), window_hash(flipped, np.array([0]), k)
+        assert (words[:k] == flipped[:k]).all() or one != two
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([1, 2, 3]), min_size=1, max_size=40), st.integers(1, 40))
+def test_window_hashes_tell_windows_apart(words, k):
+    h = np.array(words, np.uint64)
+    at = np.arange(max(0, len(h) - k + 1))
+    got = window_hash(h, at, k)
+    for i in at:
+        for j in at:
+            assert (got[i] == got[j]) == (words[i : i + k] == words[j : j + k])
+
+
+def test_hot_classes_join_whole(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(i, 0 if i < 20 else i // 3) for i in range(60)], "id long, k long")
+    classes = rows.groupBy("k").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    got = sorted((r.id, r.rep) for r in skew.join_classes(rows, classes, ["k"]).collect())
+    by: dict = {}
+    for i in range(60):
+        by.setdefault(0 if i < 20 else i // 3, []).append(i)
+    assert got == sorted((i, min(v)) for v in by.values() if len(v) > 1 for i in v)
