@@ -2,8 +2,9 @@
 
 Iterative plans cut their lineage by writing Parquet to ``spark.checkpoint.dir``: the
 files outlive a lost executor, their size is known to the optimizer, and the shuffle
-files behind them can be released.  Where the setting is absent (tests), a temporary
-folder is set once for the session.
+files behind them can be released.  Where the setting is absent on a local master
+(tests), a temporary folder is set once for the session; elsewhere that is an error, as
+driver and executors would write to folders of their own.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the session, without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='medlake-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -56,6 +59,11 @@ def discard(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 500, size: str = "8m") -> None:
-    """Bound what a Python worker holds at once: rows, and bytes, of an Arrow batch."""
+    """Bound what is held at once: rows and bytes of an Arrow batch, and rows of a Parquet batch.
+
+    Long texts make vectors of the reader's default of 4096 rows so large that the heap
+    has to grow for them.
+    """
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
