@@ -1,6 +1,7 @@
 import datetime
 import hashlib
 import io
+import random
 import zipfile
 
 import numpy as np
@@ -139,10 +140,65 @@ def test_order_minhash(spark):
     assert order_minhash.compare_edits(spark.createDataFrame([], SCHEMA), ranges=3).count() == 0
 
 
-def test_numbering_by_doubling_equals_look_up(spark, monkeypatch):
-    df = documents(spark, awkward())
-    found = []
-    for limit in (0, 10**12):
-        monkeypatch.setattr(order_minhash, "QUADRATIC", limit)
-        found.append(df.select("doc_id", order_minhash.fingerprint(F.coalesce("text", F.lit(""))).alias("f")).orderBy("doc_id").collect())
-    assert found[0] == found[1]
+def plain_fingerprint(text, k=order_minhash.K, l=order_minhash.L, m=order_minhash.M):  # noqa: E741
+    """Order MinHash in plain Python: for each order, sort all numbered k-mers by their way round the ring."""
+    import regex
+    import xxhash
+
+    def xx(*parts):
+        seed = 42
+        for x in parts:
+            if x is not None:
+                seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else (x % 2**64).to_bytes(8, "little"), seed)
+        return seed - 2**64 if seed >= 2**63 else seed
+
+    p = regex.findall(order_minhash.PIECES, text)
+    seen, items = {}, []
+    for i in range(len(p)):
+        h = xx(*(p[i + n] if i + n < len(p) else None for n in range(k)))
+        items.append((xx(h, seen.get(h, 0)), i))
+        seen[h] = seen.get(h, 0) + 1
+    if not items:
+        return [xxhash.xxh64_intdigest(j.to_bytes(4, "little"), 42) for j in range(1, m + 1)]
+    out = []
+    for c in order_minhash.ring_points(m):
+        near = sorted(items, key=lambda x: ((x[0] - c) % 2**64, x[1]))
+        chosen = [near[t % len(near)] for t in range(l)]
+        out.append(xx(*(o for _, o in sorted((i, o) for o, i in chosen))))
+    return out
+
+
+def test_fingerprints_match_brute_force(spark):
+    r = random.Random(2)
+    texts = ["", "a", "a a", "a b a b a b", "x" * 50, "日本語のテキスト" * 9, "if(a==b){return c+d;}" * 4, "é\tü  ß\n", "0123456789abcdef" * 3]
+    texts += [" ".join(r.choice(["w", "word", "another", "internationalization"]) + str(r.randrange(n)) for _ in range(n)) for n in (3, 30, 300, 3000)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", order_minhash.fingerprint(F.col("text")).alias("f")).collect()
+    for row in got:
+        assert [x % 2**64 for x in row.f] == [x % 2**64 for x in plain_fingerprint(texts[row.i])], texts[row.i][:40]
+
+
+def test_fingerprints_follow_edit_distance(spark):
+    """Means over many texts, of any length: few edits stay near, the same words in another order do not."""
+    r = random.Random(4)
+    rows = []
+    for i in range(120):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.choice([60, 400, 3000]))]
+        edited, moved = words[:], words[:]
+        for _ in range(len(words) // 50):
+            edited[r.randrange(len(words))] = "other"
+        r.shuffle(moved)
+        half = words[: len(words) // 2] + [f"v{r.randrange(10**6)}" for _ in range(len(words) // 2)]
+        run = "".join(words)
+        rows.append((i, " ".join(words), " ".join(edited), " ".join(half), " ".join(moved), run, "x" + run))
+    df = spark.createDataFrame(rows, "i int, a string, edited string, half string, moved string, run string, shifted string")
+    near = lambda a, b: order_minhash.likeness(order_minhash.fingerprint(F.col(a)), order_minhash.fingerprint(F.col(b)))
+    got = df.agg(*(F.avg(near(a, b)).alias(b) for a, b in (("a", "edited"), ("a", "half"), ("a", "moved"), ("run", "shifted")))).first()
+    assert got.edited > 0.8 and 0.05 < got.half < 0.35 and got.moved < 0.02 and got.shifted > 0.9
+
+
+def test_next_texts_with_null_and_repeated_ids(spark):
+    rows = [(None, t, *[None] * 6) for t in ("p q", "p q", "r s t u", "v")] + [(i // 2, f"t{i} " * (i + 1), *[None] * 6) for i in range(21)]
+    got = order_minhash.compare_edits(documents(spark, rows).repartition(3), ranges=4).collect()
+    one = order_minhash.compare_edits(documents(spark, rows), ranges=1).collect()
+    key = lambda rs: sorted((r.doc_id is None, r.doc_id or 0, r.edited_sha256, r.near_next) for r in rs)
+    assert len(got) == len(rows) and key(got) == key(one)
