@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,9 +53,46 @@ def letters(c: Column) -> Column:
     return F.length(F.regexp_replace(F.lower(c), "[^a-z]", ""))
 
 
+#: What makes a phrase unsafe to send to a search.
+UNSAFE = r"\d|@|https?://|\b(?:mrn|accession|patient|name|dob|date|id)\b|\b(?:january|february|march|april|may|june|july|august|september|october|november|december)\b"
+
+
 def pii_like(c: Column) -> Column:
-    """Digits, addresses, links, or identifier words."""
-    return c.rlike("[0-9]|@|https?:|www[.]") | F.lower(c).rlike("(^|[^a-z])(id|mrn|accession|january|february|march|april|june|july|august|september|october|november|december)([^a-z]|$)")
+    """Digits, addresses, links, identifier and month words."""
+    return F.lower(c).rlike(UNSAFE)
+
+
+def nfkc(c: Column) -> Column:
+    """Unicode compatibility composition, squeezed white space, lower case.
+
+    Spark has no function for the composition, and Arrow's doesn't compose; texts of plain
+    ASCII need none and stay in the JVM.
+    """
+    @F.arrow_udf("string")
+    def normal(rows: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in rows.to_pylist()], pa.string())
+
+    plain = c.rlike(r"^[\x00-\x7F]*$")
+    return F.lower(F.trim(F.regexp_replace(F.when(plain, c).otherwise(normal(F.when(~plain, c))), r"(?U)\s+", " ")))
+
+
+def tex(c: Column) -> Column:
+    """Text with the characters escaped that TeX reads as commands."""
+    out = F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("\u0001")), "([&%$#_{}])", r"\\$1")
+    for char, command in (("~", r"\textasciitilde{}"), ("^", r"\textasciicircum{}"), ("\u0001", r"\textbackslash{}")):
+        out = F.replace(out, F.lit(char), F.lit(command))
+    return out
+
+
+def few_shot(task: str, examples: list[tuple[str, str]], question: Column) -> Column:
+    """A prompt of a task, worked examples and the text in question."""
+    shown = [f"Input: {x}\nOutput: {y}" for x, y in examples]
+    return F.concat_ws("\n\n", F.lit(task), *map(F.lit, shown), F.concat(F.lit("Input: "), question, F.lit("\nOutput:")))
+
+
+def display_group(label: Column, groups: dict[str, list[str]], default: str = "Other") -> Column:
+    """The group that lists a label, with a capital first letter."""
+    return sentence_case(recode(label, {x: g for g, xs in groups.items() for x in xs}, default))
 
 
 def sentences(c: Column) -> Column:
@@ -121,17 +160,30 @@ def drop_sections(c: Column, unwanted: list[str]) -> Column:
     return squeeze(F.array_join(kept, ""))
 
 
-def polarity(c: Column) -> Column:
-    """Whole-phrase polarity by ordered gates (F24): excluded, negated or affirmative."""
-    t = F.concat(F.lit(" "), F.lower(squeeze(c)), F.lit(" "))
-    has = lambda *words: t.rlike(" (" + "|".join(words) + ")[ ,.;]")
-    return (
-        F.when(has("possible", "probable", "may", "likely", "suspected"), "excluded")
-        .when(has("limited", "technique", "artifact"), "excluded")
-        .when(has("but", "however", "although"), "excluded")
-        .when(t.rlike("^ (no|without|absence of|negative for) "), "negated")
-        .when(t.rlike(" (is|are) (absent|excluded|not seen)[ .]*$"), "negated")
-        .when(has("no", "not", "without"), "excluded")
-        .when(has("normal", "unremarkable"), "excluded")
-        .otherwise("affirmative")
-    )
+#: The gates of phrase polarity, in their order.
+UNCERTAIN = r"\bcannot\s+(?:be\s+)?(?:exclude|excluded|rule(?:d)?\s+out)\b|\bcan\s+not\s+(?:be\s+)?(?:exclude|excluded|rule(?:d)?\s+out)\b|\bnot\s+excluded\b|\brule\s+out\b|\br/o\b|\bpossible\b|\bpossibly\b|\bprobable\b|\bprobably\b|\blikely\b|\bmay\b|\bmight\b|\bcould\b|\bequivocal\b|\bindeterminate\b|\bsuspected\b|\bsuspicious\b|\bconcerning\b|\bquestion(?:able)?\b|\bversus\b|\bvs\.?\b|\?"
+PARTIAL = r"^no\s+fat\s+plane\b|^no\s+(?:new(?:ly)?|other|additional|associated|further|remaining|interval)\b|^no\s+(?:increase|decrease|progression|worsening|improvement)\s+(?:in|of)\b|^no\s+(?:significant|definite|definitive|discrete|convincing|obvious|gross|apparent|evident|clear|discernible|visualized|appreciable|substantial|sizable|large|major|measurable|acute|bilateral|unilateral|worrisome|dominant|obstructing)\b|\bno\s+(?:significant\s+)?(?:interval\s+)?change\b|\bwithout\s+(?:significant\s+)?(?:interval\s+)?change\b|\bnot\s+significantly\s+changed\b|\bno\s+longer\b"
+TECHNICAL = r"\bnot\s+(?:well|clearly|definitely|adequately|optimally)\s+(?:visualized|seen|identified|evaluated)\b|\blimited\s+(?:exam|examination|evaluation|assessment)\b|\bmotion\s+artifact\b|\black\s+of\s+(?:iv\s+)?contrast\b|\bstatus\s+post\b|\bsurgically\s+absent\b|\bpost[- ]?(?:operative|surgical)\b|\bresolved\b|\bresolution\s+of\b|\bcleared\b"
+MIXED = r"\bbut\b|\bhowever\b|\balthough\b|\bexcept\b|\bapart\s+from\b|\bother\s+than\b|\bas\s+well\s+as\b|[;:]"
+NORMAL = r"\bunremarkable\b|\bwithin\s+normal\s+limits\b|\bnormal\b|\bpatent\b"
+NEGATED_BEFORE = r"^(?:there\s+(?:is|are|was|were)\s+)?(?:no\b|never\b|without\b|(?:an?\s+)?absence\s+of\b|negative\s+for\b|free\s+of\b|clear\s+of\b|lack\s+of\b)"
+NEGATED_BEHIND = r"^[^,;:]+?\s+(?:(?:is|are|was|were|has\s+been|have\s+been)\s+)?(?:absent|not\s+(?:present|detected|demonstrated|evident|visible|enlarged|dilated|distended|aneurysmal|obstructed|occluded|thickened))(?:\s+(?:on|at|in|within|by|from)\b[^,;:]*)?$"
+NEGATION = r"\bno\b|\bnot\b|\bnever\b|\bwithout\b|\babsence\b|\babsent\b|\bnegative\s+for\b|\bfree\s+of\b|\bclear\s+of\b|\black\s+of\b|\bexcluded\b|\bruled\s+out\b"
+POLARITY = (
+    ("^$", "excluded", "empty"),
+    (UNCERTAIN, "excluded", "uncertain_or_hedged"),
+    (PARTIAL, "excluded", "partial_or_temporal_negation"),
+    (TECHNICAL, "excluded", "technical_temporal_or_surgical"),
+    (MIXED, "excluded", "mixed_clause"),
+    (NORMAL, "excluded", "normality_boilerplate"),
+    (NEGATED_BEFORE, "negated", "strong_prefix_negation"),
+    (NEGATED_BEHIND, "negated", "strong_post_negation"),
+    (NEGATION, "excluded", "unresolved_negation"),
+)
+
+
+def polarity(normalised: Column) -> Column:
+    """Whole-phrase polarity and its reason, by ordered gates (F24), of a phrase from :func:`nfkc`."""
+    row = lambda p, why: F.struct(F.lit(p).alias("polarity"), F.lit(why).alias("reason"))
+    t = F.coalesce(normalised, F.lit(""))
+    return reduce(lambda acc, g: acc.when(t.rlike(g[0]), row(*g[1:])), POLARITY[1:], F.when(t.rlike(POLARITY[0][0]), row(*POLARITY[0][1:]))).otherwise(row("affirmative", "affirmative"))

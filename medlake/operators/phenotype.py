@@ -38,10 +38,12 @@ def expand_codes(rows: DataFrame, code: str, known: DataFrame) -> DataFrame:
     return rows.join(good.where(F.col("_k") | (F.col("expanded") == F.col(code))).drop("_k").distinct(), code)
 
 
-def sector(code: Column, bounds: list[tuple[float, float, str]], default: str = "Other") -> Column:
-    """Numeric code ranges [low, high) to names (F8)."""
+def sector(code: Column, bounds: list[tuple[float, float, str]], default: str = "Other", overrides: dict[float, str] | None = None) -> Column:
+    """Numeric code ranges [low, high) to names (F8); codes that round to an override's two decimals take its name."""
     n = code.try_cast("double")
     out = F.when(F.lit(False), "")
+    for at, name in (overrides or {}).items():
+        out = out.when(F.round(n, 2) == at, name)
     for low, high, name in bounds:
         out = out.when((n >= low) & (n < high), name)
     return out.otherwise(default)

@@ -59,6 +59,20 @@ def tier(text: Column, profile: Profile) -> Column:
     )
 
 
+def resolve(text: Column, label: Column, category: Column, cascade: list[tuple[str, str | None, Profile]]) -> Column:
+    """Struct of profile number, tier, score and matched patterns.
+
+    A label, with its category where a line of the cascade asks for one, takes the first
+    line that matches; a label without one has the empty profile, which rejects, as -1.
+    """
+    row = lambda i, t: F.struct(F.lit(i).alias("profile"), t["tier"].alias("tier"), t["score"].alias("score"), t["matched"].alias("matched"))
+    out = F.when(F.lit(False), row(-1, tier(text, Profile())))
+    for i, (name, kind, profile) in enumerate(cascade):
+        hit = label.rlike(name) & category.rlike(kind) if kind else label.rlike(name)
+        out = out.when(hit, row(i, tier(text, profile)))
+    return out.otherwise(row(-1, tier(text, Profile())))
+
+
 def review_status(n_direct: Column, n_associated: Column, enough: int = 10) -> Column:
     """Decision table over the tiers a label has."""
     return F.when(n_direct >= enough, "ok").when(n_direct + n_associated >= enough, "support_only").when(n_direct + n_associated > 0, "review").otherwise("empty")

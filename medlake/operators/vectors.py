@@ -153,6 +153,40 @@ def masked_pool(parts: list[Column], size: int) -> Column:
     return F.transform(total, lambda x: x / F.greatest(n, F.lit(1)))
 
 
+def rerank(candidates: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, bank_id, distance, place): candidate pairs by exact distance, without a row's own."""
+    v = vectors.select("vec_id", "v")
+    pairs = candidates.where("query_id <> bank_id").select("query_id", "bank_id")
+    full = pairs.join(v.toDF("query_id", "_q"), "query_id").join(v.toDF("bank_id", "_b"), "bank_id")
+    scored = full.select("query_id", "bank_id", F.round(unit_distance(dot("_q", "_b")), 6).alias("distance"))
+    w = Window.partitionBy("query_id").orderBy("distance", "bank_id")
+    return scored.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= k)
+
+
+#: Fixed value: words that negate a phrase, for the choice of an anchor.
+NEGATED = r"\b(no|without|negative|absent|absence|not|unremarkable|resolved|ruled out|free of)\b"
+
+
+def anchors(bank: DataFrame, terms: list[str], k: int) -> DataFrame:
+    """(term, anchor, n, same_family): a bank of (vec_id, label, s, v) searched from a phrase for each term.
+
+    The anchor is the shortest phrase that holds the term, affirmative ones first.  Of its
+    neighbours, those with its own text go and each other text counts once; then the share
+    of the nearest ``k`` that have its label.
+    """
+    spark = bank.sparkSession
+    term = spark.createDataFrame([(t,) for t in terms], "term string")
+    held = bank.join(F.broadcast(term), F.contains("s", "term"))  # the list of terms
+    chosen = held.groupBy("term").agg(F.min(F.struct(F.col("s").rlike(NEGATED).alias("no"), F.length("s").alias("size"), "vec_id")).alias("m"))
+    rows = chosen.select("term", F.col("m.vec_id").alias("anchor")).join(bank.select(F.col("vec_id").alias("anchor"), F.col("label").alias("family"), F.col("s").alias("own"), F.col("v").alias("q")), "anchor")
+    near = bank.crossJoin(F.broadcast(rows)).where((F.col("vec_id") != F.col("anchor")) & (F.col("s") != F.col("own")))  # one anchor for each term
+    near = near.select("term", "anchor", "family", "vec_id", "s", "label", F.round(dot("q", "v"), 9).alias("score"))
+    once = near.groupBy("term", "anchor", "family", "s").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("o"), "label")).alias("b"))
+    w = Window.partitionBy("term").orderBy(F.col("b.score").desc(), F.col("b.o").desc())
+    best = once.withColumn("_z", F.row_number().over(w)).where(F.col("_z") <= k)
+    return best.groupBy("term", "anchor").agg(F.count("*").alias("n"), F.avg((F.col("b.label") == F.col("family")).cast("double")).alias("same_family"))
+
+
 def neighbour_purity(rows: DataFrame, k: int) -> DataFrame:
     """(label, purity): mean share of same-label rows among each row's k nearest others."""
     near = top_k(rows.select(F.col("id").alias("query_id"), "v"), rows.select(F.col("id").alias("bank_id"), "v"), k + 1).where("query_id <> bank_id")

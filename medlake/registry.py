@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with a ``QUERIES`` and an ``ORACLE`` mapping.
-MODULES: tuple[str, ...] = ("queries.evaluation", "queries.relational", "queries.phenotype", "queries.textmine", "queries.vectors")
+MODULES: tuple[str, ...] = ("queries.evaluation", "queries.relational", "queries.phenotype", "queries.textmine", "queries.vectors", "queries.studies")
 
 
 def queries() -> dict:

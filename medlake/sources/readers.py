@@ -6,6 +6,7 @@ import io
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +19,12 @@ def all_text(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",", columns: list[str] | None = None) -> DataFrame:
-    """Delimited text with a header and quoted line breaks (S1, S3); ``columns`` prunes the scan."""
-    df = spark.read.schema(schema).csv(path, header=True, sep=sep, multiLine=True, escape='"', enforceSchema=False)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",", columns: list[str] | None = None, broken_lines: bool = True) -> DataFrame:
+    """Delimited text with a header (S1, S3); ``columns`` prunes the scan.
+
+    Files whose fields hold no line breaks can be split between tasks: say so by ``broken_lines``.
+    """
+    df = spark.read.schema(schema).csv(path, header=True, sep=sep, multiLine=broken_lines, escape='"', enforceSchema=False)
     return df.select(*columns) if columns else df
 
 
@@ -88,11 +92,179 @@ def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], version: str)
     return keep_one(old.unionByName(new), keys, [F.col(version).desc()])
 
 
-def markdown(rows: DataFrame, limit: int = 200) -> str:
-    """A small table as Markdown."""
-    got = rows.limit(limit).collect()
-    line = lambda xs: "| " + " | ".join("" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x) for x in xs) + " |"
-    return "\n".join([line(rows.columns), line(["-"] * len(rows.columns)), *map(line, got)])
+def read_shards(spark: SparkSession, paths: list[str], rows: int | None = None, column: str = "shard") -> DataFrame:
+    """Parquet shards in the given order under one column of their places.
+
+    A missing shard is an error, and so is another number of rows than ``rows``.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    missing = [p for p in paths if not (at := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(at)]
+    if missing:
+        raise FileNotFoundError(f"missing shards: {missing}")
+    parts = [spark.read.parquet(p).withColumn(column, F.lit(i)) for i, p in enumerate(paths)]
+    out = reduce(DataFrame.unionByName, parts)
+    if rows is not None and (found := out.count()) != rows:
+        raise ValueError(f"{found} rows in the shards, {rows} expected")
+    return out
+
+
+def _shown(x: object) -> str:
+    return "" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
+
+
+def markdown(rows: DataFrame) -> str:
+    """A table as Markdown, all of its rows (S18); for summaries, as the text is one value."""
+    line = lambda xs: "| " + " | ".join(map(_shown, xs)) + " |"
+    return "\n".join([line(rows.columns), line(["-"] * len(rows.columns)), *map(line, rows.toLocalIterator())])
+
+
+def latex(rows: DataFrame, caption: str = "") -> str:
+    """A table as a LaTeX longtable with its cells escaped, all of its rows."""
+    from medlake.functions.text import tex
+
+    kinds = dict(rows.dtypes)
+    cells = rows.select(*(F.col(c) if kinds[c] in ("double", "float") else tex(F.col(c).cast("string")).alias(c) for c in rows.columns))
+    heads = rows.sparkSession.range(1).select(*(tex(F.lit(c)).alias(f"c{i}") for i, c in enumerate(rows.columns))).first()
+    body = [" & ".join(map(_shown, r)) + r" \\" for r in cells.toLocalIterator()]
+    begin = [rf"\begin{{longtable}}{{{'l' * len(rows.columns)}}}"] + ([rf"\caption{{{caption}}} \\"] if caption else [])
+    return "\n".join([*begin, r"\toprule", " & ".join(heads) + r" \\", r"\midrule", r"\endhead", *body, r"\bottomrule", r"\end{longtable}"])
+
+
+def write_table(rows: DataFrame, path: str, kind: str, mode: str = "error") -> None:
+    """A table as CSV with a header, Parquet, JSON lines, or appended JSON lines (S14); written whole or not at all by the commit protocol."""
+    if kind == "csv":
+        rows.write.mode(mode).csv(path, header=True, escape='"')
+    elif kind in ("json", "append"):
+        rows.write.mode("append" if kind == "append" else mode).json(path)
+    elif kind == "parquet":
+        rows.write.mode(mode).parquet(path)
+    else:
+        raise ValueError(f"no sink {kind}")
+
+
+def read_ontology(spark: SparkSession, path: str, root: str = "rdf:RDF") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, terms, obsolete) of an ontology in RDF/XML.
+
+    Edges are (parent, child) of direct subclasses; terms are (node, term, preferred) from
+    English labels, synonyms and acronyms of classes and of descriptions of known classes;
+    obsolete ones are nodes with an obsolete name.  Two scans by row tag; nodes are named by
+    what follows the last # or / of their address.
+    """
+    text = "array<struct<_VALUE:string,`_xml:lang`:string>>"
+    shape = f"`_rdf:about` string, `rdfs:label` {text}, Synonym {text}, Acronym {text}, Obsolete_Name array<string>"
+    up = "`rdfs:subClassOf` array<struct<`_rdf:resource`:string>>"
+    scan = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "false").schema(schema).load(path)
+    name = lambda c: F.regexp_extract(c, "([^#/]+)$", 1)
+    own = name(F.col("`_rdf:about`")).alias("node")
+    classes, notes = scan("owl:Class", f"{shape}, {up}"), scan("rdf:Description", shape)
+    edges = classes.select(own, F.explode("`rdfs:subClassOf`").alias("p")).select(name(F.col("p.`_rdf:resource`")).alias("parent"), F.col("node").alias("child")).where("parent <> '' and child <> ''").distinct()
+    known = classes.select(own).where("node <> ''").distinct()
+    every = classes.drop("rdfs:subClassOf").unionByName(notes).select("*", own).join(known, "node", "left_semi")
+
+    def english(column: str, preferred: bool) -> DataFrame:
+        one = every.select("node", F.explode(column).alias("t")).select("node", F.trim("t._VALUE").alias("term"), F.col("t.`_xml:lang`").alias("lang"))
+        return one.where("term <> '' and (lang is null or lang = '' or lower(lang) like 'en%')").select("node", "term", F.lit(preferred).alias("preferred"))
+
+    terms = english("`rdfs:label`", True).union(english("Synonym", False)).union(english("Acronym", False))
+    return edges, terms.groupBy("node", "term").agg(F.max("preferred").alias("preferred")), every.where(F.size("Obsolete_Name") > 0).select("node").distinct()
+
+
+def read_roi_plists(spark: SparkSession, path: str) -> DataFrame:
+    """(file, roi, name, area, max_hu) of the regions in property lists (S10); an unreadable file has one row of nulls."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import plistlib
+
+        for b in batches:
+            out = []
+            for name, raw in zip(b["path"], b["content"]):
+                try:
+                    images = plistlib.loads(raw).get("Images", [])
+                except (plistlib.InvalidFileException, ValueError, AttributeError, SyntaxError):
+                    images = None
+                except Exception as e:  # the XML parser's own error has no common base
+                    if type(e).__name__ != "ExpatError":
+                        raise
+                    images = None
+                rois = [r for i in images or [] for r in i.get("ROIs", [])]
+                out += [(name, k, str(r.get("Name", "Unknown")), float(r.get("Area", 0)), float(r.get("Max", 0))) for k, r in enumerate(rois)] if images is not None else [(name, None, None, None, None)]
+            yield pd.DataFrame(out, columns=["file", "roi", "name", "area", "max_hu"])
+
+    return files.mapInPandas(unpack, "file string, roi int, name string, area double, max_hu double")
+
+
+def read_excel(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
+    """(file, row, cells) of a sheet of XLSX workbooks, as text (S4); rows from 1, blank cells null.
+
+    A workbook is a ZIP of XML parts: the sheet's cells, and the table of shared strings.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+        import zipfile
+        from xml.etree import ElementTree
+
+        tag = lambda e: e.tag.rpartition("}")[2]
+        said = lambda e: "".join(t.text or "" for t in e.iter() if tag(t) == "t")
+        for b in batches:
+            for name, raw in zip(b["path"], b["content"]):
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    shared = [said(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if tag(e) == "si"] if "xl/sharedStrings.xml" in z.namelist() else []
+                    tree = ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml"))
+                out = []
+                for number, row in enumerate((e for e in tree.iter() if tag(e) == "row"), 1):
+                    cells: list = []
+                    for c in (e for e in row if tag(e) == "c"):
+                        place = re.match("[A-Z]+", c.get("r", ""))
+                        at = 0
+                        for letter in place.group() if place else "":
+                            at = 26 * at + ord(letter) - 64
+                        cells += [None] * ((at - 1 if place else len(cells)) - len(cells))
+                        value = next((e.text for e in c if tag(e) == "v"), None)
+                        kind = c.get("t")
+                        cells.append(said(c) if kind == "inlineStr" else shared[int(value)] if kind == "s" and value is not None else value)
+                    out.append((name, int(row.get("r", number)), cells))
+                yield pd.DataFrame(out, columns=["file", "row", "cells"])
+
+    return files.mapInPandas(unpack, "file string, row int, cells array<string>")
+
+
+def read_nifti(spark: SparkSession, path: str, voxels: bool = False) -> DataFrame:
+    """(file, shape, spacing, affine, voxels) of NIfTI-1 volumes, gzipped or not.
+
+    The affine is the sform, row by row in 16 doubles, else the spacing's diagonal; voxels,
+    where asked for, are scaled and flat in file order.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    #: Data type codes of the format.
+    kinds = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import gzip
+        import struct
+
+        import numpy as np
+
+        for b in batches:
+            for name, raw in zip(b["path"], b["content"]):
+                raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+                end = "<" if struct.unpack_from("<i", raw, 0)[0] == 348 else ">"
+                dim, pix = struct.unpack_from(f"{end}8h", raw, 40), struct.unpack_from(f"{end}8f", raw, 76)
+                code, offset, slope, inter = struct.unpack_from(f"{end}h", raw, 70)[0], *struct.unpack_from(f"{end}3f", raw, 108)
+                shape, spacing = list(dim[1 : 1 + dim[0]]), [float(x) for x in pix[1 : 1 + dim[0]]]
+                if struct.unpack_from(f"{end}h", raw, 254)[0] > 0:
+                    affine = [float(x) for x in struct.unpack_from(f"{end}12f", raw, 280)] + [0.0, 0.0, 0.0, 1.0]
+                else:
+                    affine = np.diag([*(spacing + [1.0] * 3)[:3], 1.0]).reshape(-1).tolist()
+                x = None
+                if voxels:
+                    x = np.frombuffer(raw, np.dtype(end + kinds[code]), int(np.prod(shape)), int(offset)).astype(float)
+                    x = x * slope + inter if slope and np.isfinite(slope) else x
+                yield pd.DataFrame({"file": [name], "shape": [shape], "spacing": [spacing], "affine": [affine], "voxels": [x]})
+
+    return files.mapInPandas(unpack, "file string, shape array<int>, spacing array<double>, affine array<double>, voxels array<double>")
 
 
 @dataclass

@@ -72,9 +72,8 @@ def test_tiers(spark):
     "text, want",
     [("No A, B, or C.", 0), ("minimal b on the right. No b on the left.", 1), ("Possible b.", -1), ("", 0), ("no change in b", 1)],
 )
-def test_findings(text, want):
-    low = [s.strip() for s in text.lower().split(". ")]
-    assert textmine.classify(low, [r"\bb\b"], []) == want
+def test_findings(spark, text, want):
+    assert one(spark, textmine.status(tx.sentences(F.lit(text)), r"\bb\b")) == want
 
 
 def test_numbers(spark):
@@ -167,6 +166,6 @@ def test_text(spark):
     assert one(spark, tx.clean_report(F.lit("FINDINGS: x IMPRESSION: 1. Clear lungs. clear lungs. Please call. Electronically signed"))) == "Clear lungs."
     assert one(spark, tx.clean_report(F.lit(" "))) == " "
     assert one(spark, tx.slug(F.lit("--"))) == "item"
-    assert one(spark, tx.polarity(F.lit("no pleural effusion"))) == "negated"
+    assert one(spark, tx.polarity(F.lit("no pleural effusion")))["polarity"] == "negated"
     rows = spark.createDataFrame([('{"observations": ["a", 1, "b"]}',), ("{'observations': ['c']}",), ("bad",), (None,)], "raw string")
     assert [r.x for r in rows.select(textmine.parse_observations(F.col("raw")).alias("x")).collect()] == [["a", "b"], ["c"], [], []]
