@@ -12,6 +12,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,9 +47,33 @@ def materialize(df: DataFrame, name: str, release: bool = True) -> DataFrame:
         spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._medlake_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[..., None]]:
+    """Working tables written inside go at the end, but for those that are handed to what this yields.
+
+    A lazy result must hand over the tables that it still reads; they then belong to the
+    scope around this one, if any.
+    """
+    own: list[DataFrame] = []
+    held: set[str] = set()
+    _scopes.append(own)
+    try:
+        yield lambda *tables: held.update(t._medlake_path for t in tables)
+    finally:
+        _scopes.remove(own)
+        discard(*(t for t in own if t._medlake_path not in held))
+        if _scopes:
+            _scopes[-1] += [t for t in own if t._medlake_path in held]
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete working tables that no later plan reads."""
     for table in tables:
