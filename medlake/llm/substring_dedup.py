@@ -31,10 +31,11 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from medlake.llm.skew import join_classes
 from medlake.llm.words import SEPARATOR, U, Words, digests, split_words, string_bytes, tidy, window_hash, window_starts
-from medlake.plans.shared import materialize
+from medlake.plans.shared import discard, materialize
 
 CHUNK_BYTES, PART_BYTES = 2 << 20, 16 << 20
 NO_ID = 2**63 - 1
@@ -67,7 +68,18 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 
 
 WINDOWS = "part int, chunk long, found binary, other binary, own binary"
-CHUNK = "chunk long, size long, ids array<long>, words array<long>, s1 array<long>, s2 array<long>, at binary, text binary"
+CHUNK = "chunk long, size long, ids array<long>, words array<long>, s1 array<long>, s2 array<long>, at binary, text binary, rest binary"
+
+
+def _stored(rows: list[pa.RecordBatch]) -> bytes:
+    """Columns that go along, as a compressed Arrow stream."""
+    if not rows[0].num_columns:
+        return b""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for r in rows:
+            out.write_batch(r)
+    return sink.getvalue().to_pybytes()
 
 
 def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
@@ -76,6 +88,7 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     def work(batches: Batches) -> Batches:
         z = zstandard.ZstdCompressor(level=3)
         ids: list = []
+        rest: list[pa.RecordBatch] = []
         parts: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         made = held = 0
@@ -85,9 +98,9 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             data, at = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
             w = split_words(data, at)
             sums = [h.tolist() for h in digests(np.stack([w.hash, w.other], 1), w.first)]
-            row = ((TaskContext.get().partitionId() << 32) + made, len(data), ids[:], w.count().tolist(), *sums, at.tobytes(), z.compress(data.tobytes()))
+            row = ((TaskContext.get().partitionId() << 32) + made, len(data), ids[:], w.count().tolist(), *sums, at.tobytes(), z.compress(data.tobytes()), _stored(rest))
             made, held = made + 1, 0
-            ids.clear(), parts.clear(), sizes.clear()
+            ids.clear(), parts.clear(), sizes.clear(), rest.clear()
             return _batch(CHUNK, [row])
 
         for batch in batches:
@@ -97,6 +110,7 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             while i < len(own):
                 j = max(i + 1, int(np.searchsorted(at, at[i] + chunk_bytes - held, "right")) - 1)
                 ids += own[i:j]
+                rest.append(batch.slice(i, j - i).select(range(2, batch.num_columns)))
                 parts.append(data[at[i] : at[j]])
                 sizes.append(np.diff(at[i : j + 1]))
                 held += at[j] - at[i]
@@ -244,8 +258,8 @@ def _as_dict(value) -> dict[int, bytes]:
     return {x["part"]: x["bits"] for x in value or ()}
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, keep_clean: bool = False) -> DataFrame:
-    """(id, n_words, n_removed, kept_text) for every row of ``docs``.
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, keep_clean: bool = False, carry: list[str] = ()) -> DataFrame:
+    """(id, n_words, n_removed, kept_text) for every row of ``docs``, and its columns named in ``carry``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``; each word covered by a ``length``-word window that
     also starts in a text with a smaller id goes, judged on the input.  Kept words are
@@ -253,21 +267,23 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     Null texts have no words and become empty.  Null ids count as larger than any
     other; rows that share an id don't remove each other's words.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"), *carry)
     chunks = materialize(_chunks(rows, chunk_bytes), "chunks")
     total = chunks.agg(F.sum("size")).first()[0] or 0
     bits = min(24, max(4, int(total / PART_BYTES).bit_length()))
 
     docs_of = chunks.select("chunk", F.explode(F.arrays_zip("ids", "words", "s1", "s2")).alias("d")).select("chunk", "d.*").where(F.col("words") >= length)
     many = docs_of.groupBy("s1", "s2", "words").agg(F.min("ids").alias("rep"), F.max("ids").alias("last"), F.count("*").alias("n")).where("rep < last").drop("last")
-    copies = join_classes(docs_of, materialize(many, "classes"), ["s1", "s2", "words"]).where("ids > rep").groupBy("chunk").agg(F.collect_list("ids").alias("copies"))
+    many = materialize(many, "classes")
+    copies = join_classes(docs_of, many, ["s1", "s2", "words"]).where("ids > rep").groupBy("chunk").agg(F.collect_list("ids").alias("copies"))
     copies = materialize(copies, "copies")
+    discard(many)
 
     def probe(batches: Batches) -> Batches:
         for batch in batches:
             for row in range(batch.num_rows):
-                chunk, ids, at, text = (batch.column(i)[row].as_py() for i in range(4))
-                for part, kind, values in _Chunk(ids, at, text, length, bits).probes():
+                chunk, *parts = (batch.column(i)[row].as_py() for i in range(4))
+                for part, kind, values in _Chunk(*parts, length, bits).probes():
                     yield _batch("part int, kind int, chunk long, found binary", [(part, kind, chunk, values)])
 
     stored = chunks.select("chunk", "ids", "at", "text")
@@ -278,8 +294,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     def windows(batches: Batches) -> Batches:
         for batch in batches:
             for row in range(batch.num_rows):
-                chunk, ids, at, text, hit, copy = (batch.column(i)[row].as_py() for i in range(6))
-                c = _Chunk(ids, at, text, length, bits)
+                chunk, *parts, hit, copy = (batch.column(i)[row].as_py() for i in range(6))
+                c = _Chunk(*parts, length, bits)
                 _, *found = c.candidates(_as_dict(hit), copy or [])
                 values, others, own, _ = c.owners(*found)
                 done = 0
@@ -288,18 +304,21 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                     yield _batch(WINDOWS, [(part, chunk, _pack_sorted(v), _pack(others[here]), _pack(own[here]))])
                     done += len(v)
 
-    known = stored.join(hits, "chunk", "left").join(copies, "chunk", "left").select("chunk", "ids", "at", "text", "hits", "copies")
+    known = stored.join(hits, "chunk", "left").join(copies, "chunk", "left")
     sent = known.mapInArrow(tidy(windows), WINDOWS)
     found = sent.repartition("part").sortWithinPartitions("part", "chunk").mapInArrow(tidy(_firsts), "chunk long, part int, bits binary")
     firsts = materialize(_replies(found, "firsts"), "firsts")
 
-    out_schema = "id long, n_words long, n_removed long, kept_text string"
+    out_schema = T.StructType.fromDDL("id long, n_words long, n_removed long, kept_text string")
+    for c in carry:
+        out_schema.add(docs.schema[c])
+    names = out_schema.names
 
     def finish(batches: Batches) -> Batches:
         for batch in batches:
             for row in range(batch.num_rows):
-                chunk, ids, at, text, hit, copy, first = (batch.column(i)[row].as_py() for i in range(7))
-                c = _Chunk(ids, at, text, length, bits)
+                chunk, *parts, hit, copy, rest, first = (batch.column(i)[row].as_py() for i in range(8))
+                c = _Chunk(*parts, length, bits)
                 start, *found = c.candidates(_as_dict(hit), copy or [])
                 values, _, own, back = c.owners(*found)
                 gone = c.replies(values, 64 - bits, _as_dict(first))[back] | (own[back] < c.ids[found[0]])
@@ -309,9 +328,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 np.add.at(cover, start[gone] + length, -1)
                 keep = np.cumsum(cover)[:-1] == 0
                 keep &= ~np.repeat(np.isin(c.ids, np.array(copy or [], np.int64)) & (w.count() >= length), w.count())
-                yield pa.RecordBatch.from_arrays(_kept(c, keep, keep_clean), names=["id", "n_words", "n_removed", "kept_text"])
+                along = [x.combine_chunks() for x in pa.ipc.open_stream(rest).read_all().columns] if rest else []
+                yield pa.RecordBatch.from_arrays([*_kept(c, keep, keep_clean), *along], names=names)
 
-    last = known.join(firsts, "chunk", "left").select("chunk", "ids", "at", "text", "hits", "copies", "firsts")
+    whole = chunks.select(*stored.columns, "rest")
+    last = whole.join(hits, "chunk", "left").join(copies, "chunk", "left").join(firsts, "chunk", "left").select(*stored.columns, "hits", "copies", "rest", "firsts")
     out = last.mapInArrow(tidy(finish), out_schema)
     return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))).withColumnRenamed("id", id_col)
 
@@ -341,7 +362,3 @@ def _kept(c: _Chunk, keep: np.ndarray, keep_clean: bool) -> list[pa.Array]:
     at = kept_bytes[w.text_at].astype(np.int32)
     text = pa.Array.from_buffers(pa.string(), len(n), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data[mask].tobytes())])
     return [pa.array(c.ids), pa.array(w.count()), pa.array(w.count() - n), text]
-
-
-
-

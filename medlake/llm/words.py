@@ -1,9 +1,9 @@
 """Vectorised word splitting and hashing over Arrow string buffers.
 
 Words are maximal runs of bytes other than space and 0x09-0x0D, which on UTF-8 equals
-the pattern ``[^\\x20\\x09-\\x0D]+`` on code points.  A word's hash is a BLAKE2b digest of
-its bytes, made once for each distinct word of a slice; a window's hash is a tree of
-non-linear mixes of its words' hashes.  Both depend on the bytes alone, so any worker
+the pattern ``[^\\x20\\x09-\\x0D]+`` on code points.  A word's hash goes through its bytes
+eight at a time, all words in step, with a non-linear mix behind each; a window's hash is
+a tree of such mixes of its words' hashes.  Both depend on the bytes alone, so any worker
 gives the same value; no regular sequence of letters or words cancels out in them.
 """
 
@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SLICE_BYTES = 256 << 10
+SLICE_BYTES, LONG = 256 << 10, 512
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -43,15 +43,15 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
 @dataclass
 class Words:
-    """Words of consecutive texts: byte bounds and hash of each, and where each text's words begin."""
+    """Words of consecutive texts: byte bounds and two independent hashes of each, and where each text's words begin."""
 
     data: np.ndarray
     text_at: np.ndarray
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
+    other: np.ndarray
     first: np.ndarray  # texts + 1
-    other: np.ndarray  # a second, independent hash of each word
 
     def count(self) -> np.ndarray:
         return np.diff(self.first)
@@ -81,8 +81,8 @@ def window_hash(hashes: np.ndarray, at: np.ndarray, k: int, salt: int = 0) -> np
         size *= 2
 
 
-def split_words(data: np.ndarray, text_at: np.ndarray, lower: bool = False) -> Words:
-    """``text_at`` holds the byte bounds of the texts in ``data``, one more than texts."""
+def word_bounds(data: np.ndarray, text_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which bytes belong to words, and where each word starts and ends."""
     word = ~SEPARATOR[data]
     before, after = np.empty_like(word), np.empty_like(word)
     if len(word):
@@ -90,16 +90,30 @@ def split_words(data: np.ndarray, text_at: np.ndarray, lower: bool = False) -> W
         inner = text_at[1:-1]
         before[inner[inner < len(word)]] = False
         after[inner[inner > 0] - 1] = False
-    start, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    if not len(start):
-        return Words(data, text_at, start, end, np.zeros(0, U), np.zeros(len(text_at), np.int64), np.zeros(0, U))
-    at = np.zeros(len(start) + 1, np.int64)
-    np.cumsum(end - start, out=at[1:])
-    letters = (_lower[data] if lower else data)[word]
-    coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(letters)]).dictionary_encode()
-    known = np.frombuffer(b"".join(blake2b(x, digest_size=16).digest() for x in coded.dictionary.to_pylist()), U).reshape(-1, 2)
-    h = known[coded.indices.to_numpy()]
-    return Words(data, text_at, start, end, np.ascontiguousarray(h[:, 0]), np.searchsorted(start, text_at), np.ascontiguousarray(h[:, 1]))
+    return word, np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+
+
+def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each run of bytes; very long runs are digested, the others go in step."""
+    size = end - start
+    one, two = mix(size.astype(U), 1), mix(size.astype(U), 2)
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))  # at every byte
+    live, done = np.flatnonzero(size <= LONG), 0
+    while len(live):
+        x, rest = eight[start[live] + done], size[live] - done
+        x &= (U(2) << (np.minimum(rest, 8) * 8 - 1).astype(U)) - U(1)  # 2 << 63 is 0, less 1 all ones
+        one[live], two[live] = combine(one[live], x, 3), combine(two[live], x, 4)
+        done += 8
+        live = live[rest > 8]
+    for i in np.flatnonzero(size > LONG):
+        one[i], two[i] = np.frombuffer(blake2b(data[start[i] : end[i]].tobytes(), digest_size=16).digest(), U)
+    return one, two
+
+
+def split_words(data: np.ndarray, text_at: np.ndarray, lower: bool = False) -> Words:
+    """``text_at`` holds the byte bounds of the texts in ``data``, one more than texts."""
+    _, start, end = word_bounds(data, text_at)
+    return Words(data, text_at, start, end, *hash_runs(_lower[data] if lower else data, start, end), np.searchsorted(start, text_at))
 
 
 def digests(rows: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
