@@ -22,9 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from medlake.llm.words import tidy
+
 MARK = "▁"
 #: Units in the younger of two generations of the memo; the older one holds as many.
 MEMO = 200_000
+#: Pair tests kept at most; they are made again when needed.
+PAIRS = 1_000_000
 
 
 class Codec:
@@ -119,73 +123,28 @@ class Codec:
                 n -= len(self.piece[t])
         return out[::-1]
 
-    def _tied(self, unit: str) -> list[int]:
-        """Units that begin with several marks: marks merge by equal scores, so position decides."""
-        out: list[int] = []
-        for part in self._known_runs(unit):
-            if part in self.ids or self.chars.issuperset(part):
-                out += [self.ids[p] for p in self._merged_fast(part)]
-            else:
-                out += [self.byte_ids[b] for b in part.encode()]
-        return out
-
-    def _known_runs(self, text: str) -> list[str]:
-        runs: list[str] = []
-        known = False
-        for c in text:
-            k = c in self.chars
-            if runs and k and known:
-                runs[-1] += c
-            else:
-                runs.append(c)
-            known = k
-        return runs
-
-    def _merged_fast(self, text: str) -> list[str]:
-        """The same as :meth:`merged` with a heap over linked symbols, for units of any length."""
-        import heapq
-
-        n = len(text)
-        part, nxt, prev = list(text), list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[float, int, int, str]] = []
-
-        def offer(i: int) -> None:
-            if 0 <= i and nxt[i] < n:
-                t = part[i] + part[nxt[i]]
-                if t in self.score:
-                    heapq.heappush(heap, (-self.score[t], i, nxt[i], t))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, j, t = heapq.heappop(heap)
-            if part[i] and nxt[i] == j and part[i] + part[j] == t:
-                part[i], part[j], nxt[i] = t, "", nxt[j]
-                if nxt[i] < n:
-                    prev[nxt[i]] = i
-                offer(i)
-                offer(prev[i])
-        return [p for p in part if p]
-
-    def ids_bytes(self, unit: str) -> bytes:
+    def unit_bytes(self, unit: str) -> bytes:
         """The unit's ids as little-endian int32."""
-        ids = self._tied(unit) if unit.startswith(MARK * 2) else self.unit_ids(unit)
-        return np.array(ids, "<i4").tobytes()
+        return np.array(self.unit_ids(unit), "<i4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text and the end id, as little-endian int32."""
+        """Ids of a text and the end id, as little-endian int32; a long text goes unit by unit, some at a time."""
         end = np.array([self.eos], "<i4").tobytes()
         if not text:
             return end
         units = self.unit(MARK + text.replace(" ", MARK))
+        return b"".join(b"".join(self._units(units[s : s + MEMO // 4])) for s in range(0, len(units), MEMO // 4)) + end
+
+    def _units(self, units: list[str]) -> Iterator[bytes]:
         if len(self.memo) > MEMO:
             self.older, self.memo = self.memo, {}
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
         memo, older = self.memo, self.older
         long = {}
         for u in set(units).difference(memo):
-            (memo if len(u) < 64 else long)[u] = older.get(u) or self.ids_bytes(u)
-        get = memo.__getitem__ if not long else lambda u: memo[u] if u in memo else long[u]
-        return b"".join(map(get, units)) + end
+            (memo if len(u) < 64 else long)[u] = older.get(u) or self.unit_bytes(u)
+        return map(memo.__getitem__ if not long else lambda u: memo[u] if u in memo else long[u], units)
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; control ids have none, the mark before the first word goes.
@@ -221,7 +180,7 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(rows), "<i4")))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_col, "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(work, f"`{id_col}` long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(tidy(work), f"`{id_col}` long, ids array<int>")
 
 
 def decode_ids(rows: DataFrame, model_path: str, id_col: str = "doc_id") -> DataFrame:
@@ -235,4 +194,4 @@ def decode_ids(rows: DataFrame, model_path: str, id_col: str = "doc_id") -> Data
             texts = [c.decode(values[s:e].tolist()) for s, e in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], names=[id_col, "ids", "decoded"])
 
-    return rows.select(id_col, F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(work, f"`{id_col}` long, ids array<int>, decoded string")
+    return rows.select(id_col, F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(tidy(work), f"`{id_col}` long, ids array<int>, decoded string")
