@@ -114,7 +114,7 @@ FROM m
 OP4_SQL = r"""
 WITH p AS (
   SELECT page_id, DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS fetched_at,
-         regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '\.+$', '') AS host,
+         regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1), '\.+$', '') AS host,
          regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://[^/?#]*(/[^/?#]+)', 1) AS seg
   FROM pages),
 h AS (SELECT host, CAST('0x' || substr(md5(host), 1, 4) AS INTEGER) AS x FROM (SELECT DISTINCT host FROM p WHERE host <> '')),
@@ -131,7 +131,7 @@ c AS (
   SELECT page_id, fetched_at, unnest(list_distinct(
            CASE WHEN host = '' THEN [] ELSE
              (CASE WHEN seg <> '' THEN [host || seg] ELSE [] END) || [host] ||
-             [array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') FOR i IN range(1, greatest(len(string_split(host, '.')), 2))] END)) AS key
+             (CASE WHEN regexp_matches(host, '^(\[.*\]|[0-9]+(\.[0-9]+){3})$') THEN [] ELSE [array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') FOR i IN range(1, greatest(len(string_split(host, '.')), 2))] END) END)) AS key
   FROM p),
 m AS (
   SELECT page_id, fetched_at, arg_max({'key': c.key, 'category': category, 'since': since}, length(c.key)) AS m

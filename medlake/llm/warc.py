@@ -24,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from medlake.llm.skew import join_classes
+from medlake.llm.words import tidy
 from medlake.llm.zip_ranges import StoredWriter, data_at, directory
-from medlake.plans.shared import materialize, new_path
+from medlake.plans.shared import materialize, new_path, scratch
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -44,13 +46,14 @@ def mark_revisits(pages: DataFrame, least: int = 1000, id_col: str = "page_id",
 
     Among rows whose bodies are equal and have at least ``least`` bytes, those with the
     largest id are responses and the others refer to that id.  Null bodies are empty;
-    rows with a null id are responses.
+    rows with a null id are responses.  Copies of a common page stay where they are: only
+    bodies with few copies go through an exchange.
     """
     body = F.coalesce(F.col(body_col), F.lit(""))
     known = pages.withColumns({"_bytes": F.octet_length(body).cast("long"), "_sha1": F.sha1(body.cast("binary"))})
-    many = known.where(F.col("_bytes") >= least).groupBy("_sha1", "_bytes").agg(F.max(id_col).alias("_last"), F.min(id_col).alias("_least"))
-    many = many.where("_least < _last").drop("_least")
-    out = known.join(many, ["_sha1", "_bytes"], "left")
+    many = known.where(F.col("_bytes") >= least).groupBy("_sha1", "_bytes").agg(F.max(id_col).alias("_last"), F.min(id_col).alias("_least"), F.count("*").alias("_n"))
+    many = materialize(many.where("_least < _last").drop("_least"), "bodies")
+    out = join_classes(known, many, ["_sha1", "_bytes"], "_n", "left")
     return out.withColumn("_refers_to", F.when(F.col(id_col) < F.col("_last"), F.col("_last").cast("long"))).drop("_last")
 
 
@@ -76,24 +79,26 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(folder)
-        blocks: list[bytes] = []
         lines: list[bytes] = []
-        at = 0
+        z, name, at = None, "", 0
 
-        def finish() -> pa.RecordBatch:
-            nonlocal at
-            name = f"{uuid.uuid4().hex}.wacz"
+        def begin() -> StoredWriter:
+            nonlocal name, at
+            name, at = f"{uuid.uuid4().hex}.wacz", 0
             fs.create_dir(base, recursive=True)
-            with fs.open_output_stream(f"{base}/.{name}") as sink:
-                z = StoredWriter(sink, wide)
-                z.add(ARCHIVE, blocks)
-                z.add(INDEX, lines)
-                z.add("datapackage.json", [json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": [{"path": p} for p in (ARCHIVE, INDEX)]}).encode()])
-                z.close()
+            out = StoredWriter(fs.open_output_stream(f"{base}/.{name}"), wide)
+            out.open(ARCHIVE)
+            return out
+
+        def finish() -> pa.RecordBatch:
+            z.shut()
+            z.add(INDEX, lines)
+            z.add("datapackage.json", [json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": [{"path": p} for p in (ARCHIVE, INDEX)]}).encode()])
+            z.close()
+            z.sink.close()
             fs.move(f"{base}/.{name}", f"{base}/{name}")
             out = pa.RecordBatch.from_pydict({"uri": [f"{folder}/{name}"], "records": pa.array([len(lines)], pa.int64())})
-            blocks.clear(), lines.clear()
-            at = 0
+            lines.clear()
             return out
 
         for batch in batches:
@@ -101,18 +106,20 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 pack = zlib.compressobj(4, zlib.DEFLATED, 31)
                 raw = record(own, url, (body or "").encode(), size, sha1, refers)
                 raw = pack.compress(raw) + pack.flush()
+                z = z or begin()
                 where = {"url": url or "", "digest": f"sha1:{sha1}", "offset": at, "length": len(raw), "filename": ARCHIVE}
                 lines.append(f"{len(lines):012d} 20240101000000 {json.dumps(where)}\n".encode())
-                blocks.append(raw)
+                z.write(raw)
                 at += len(raw)
                 if at >= roll_bytes:
                     yield finish()
-        if lines:
+                    z = None
+        if z:
             yield finish()
 
     body = F.when(F.col("_refers_to").isNull(), F.col(body_col)).alias("body")
     rows = pages.select(F.col(id_col).cast("long"), url_col, body, "_bytes", "_sha1", "_refers_to")
-    return materialize(rows.mapInArrow(work, "uri string, records long"), "packages")
+    return materialize(rows.mapInArrow(tidy(work), "uri string, records long"), "packages")
 
 
 def parse(raw: bytes) -> dict:
@@ -132,7 +139,10 @@ def members_of(source, size: int) -> tuple[int, list[tuple[int, int]]]:
     """Where the archive member begins, and offset and length of each record in it, from the index."""
     found = {m.name: m for m in directory(source, size)}
     source.seek(data_at(source, found[INDEX]))
-    lines = bytes(source.read(found[INDEX].size)).decode().splitlines()
+    index = bytes(source.read(found[INDEX].size))
+    if zlib.crc32(index) != found[INDEX].crc:
+        raise ValueError("damaged index")
+    lines = index.decode().splitlines()
     spots = [json.loads(x.split(" ", 2)[2]) for x in lines]
     return data_at(source, found[ARCHIVE]), [(s["offset"], s["length"]) for s in spots]
 
@@ -155,7 +165,8 @@ def read_packages(packages: DataFrame, payload: bool = False, task_records: int
     """Records of (uri, records) packages: page_id, target_uri, payload_bytes, payload_digest, record_type, refers_to[, payload].
 
     A response's digest and size are computed from the payload read; a digest that differs
-    from the record's header is an error.  A revisit has them in its headers.
+    from the record's header is an error, and so are other checksums than those stored for
+    the index and behind each record.  A revisit has digest and size in its headers.
     """
     kinds = {"page_id": pa.int64(), "target_uri": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
     names = [k for k in kinds if k != "payload" or payload]
@@ -186,10 +197,13 @@ def read_packages(packages: DataFrame, payload: bool = False, task_records: int
     first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(task_records).cast("long")))
     tasks = packages.where("records > 0").select("uri", "records", first.alias("first")).select("uri", "first", F.least(F.col("first") + task_records, "records").alias("last"))
     sql = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
-    return tasks.repartition("uri", "first").mapInArrow(work, ", ".join(f"{n} {sql[kinds[n]]}" for n in names))
+    return tasks.repartition("uri", "first").mapInArrow(tidy(work), ", ".join(f"{n} {sql[kinds[n]]}" for n in names))
 
 
 def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
     """Write ``pages`` into packages in the shared folder and read the records back."""
     folder = new_path(pages.sparkSession, "warc")
-    return read_packages(write_packages(mark_revisits(pages), folder, **columns))
+    with scratch() as hand_over:
+        packages = write_packages(mark_revisits(pages), folder, **columns)
+        hand_over(packages)
+    return read_packages(packages)

@@ -12,7 +12,7 @@ import zlib
 from dataclasses import dataclass
 
 #: Signatures, fixed by the format.
-LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
+LOCAL, CENTRAL, END, END64, LOCATOR64, DESCRIPTOR = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x07\x08"
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
 
 
@@ -86,10 +86,34 @@ def data_at(source, member: Member) -> int:
 
 
 class StoredWriter:
-    """Writes members as they come, uncompressed; ZIP64 records where sizes need them or on demand."""
+    """Writes members as they come, uncompressed; ZIP64 records where sizes need them or on demand.
+
+    A member whose size isn't known yet is opened, written to and shut: its checksum and
+    sizes then stand behind its bytes, and in the central directory.
+    """
 
     def __init__(self, sink, wide: bool = False):
         self.sink, self.wide, self.at, self.members = sink, wide, 0, []
+        self.opened: list | None = None
+
+    def open(self, name: str) -> None:
+        """Begin a member of unknown size, ready for more than four gigabytes."""
+        raw, start = name.encode(), self.at
+        extra = struct.pack("<HHQQ", 1, 16, 0, 0)
+        self._put(LOCAL + struct.pack("<HHHHHIIIHH", 45, 0x808, 0, 0, 0x21, 0, FULL32, FULL32, len(raw), len(extra)) + raw + extra)
+        self.opened = [raw, 0, 0, start]
+
+    def write(self, raw: bytes) -> None:
+        """More bytes of the open member."""
+        self.opened[1], self.opened[2] = zlib.crc32(raw, self.opened[1]), self.opened[2] + len(raw)
+        self._put(raw)
+
+    def shut(self) -> None:
+        """End the open member."""
+        raw, crc, size, start = self.opened
+        self._put(DESCRIPTOR + struct.pack("<IQQ", crc, size, size))
+        self.members.append((raw, crc, size, start, 0x808))
+        self.opened = None
 
     def _put(self, raw: bytes) -> None:
         self.sink.write(raw)
@@ -105,15 +129,15 @@ class StoredWriter:
         self._put(LOCAL + struct.pack("<HHHHHIIIHH", 45 if wide else 20, 0x800, 0, 0, 0x21, crc, short, short, len(raw), len(extra)) + raw + extra)
         for b in blocks:
             self._put(b)
-        self.members.append((raw, crc, size, start))
+        self.members.append((raw, crc, size, start, 0x800))
 
     def close(self) -> None:
         start = self.at
-        for raw, crc, size, at in self.members:
+        for raw, crc, size, at, flags in self.members:
             wide = self.wide or size >= FULL32 or at >= FULL32
             extra = struct.pack("<HHQQQ", 1, 24, size, size, at) if wide else b""
             short, place = (FULL32, FULL32) if wide else (size, at)
-            self._put(CENTRAL + struct.pack("<HHHHHHIIIHHHHHII", 45, 45 if wide else 20, 0x800, 0, 0, 0x21, crc, short, short, len(raw), len(extra), 0, 0, 0, 0, place) + raw + extra)
+            self._put(CENTRAL + struct.pack("<HHHHHHIIIHHHHHII", 45, 45 if wide or flags != 0x800 else 20, flags, 0, 0, 0x21, crc, short, short, len(raw), len(extra), 0, 0, 0, 0, place) + raw + extra)
         length, n = self.at - start, len(self.members)
         if wide := self.wide or n >= FULL16 or start >= FULL32:
             where = self.at
