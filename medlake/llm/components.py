@@ -30,6 +30,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         step = materialize(step, "step")
         if labels is None:
             labels = step.withColumnRenamed("m", "component")
+            labels._medlake_path = step._medlake_path  # the same table
         else:
             joined = labels.join(step.withColumnRenamed("id", "component"), "component", "left")
             new = materialize(joined.select("id", F.coalesce("m", "component").alias("component")), "labels")
@@ -39,7 +40,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         rest = left.join(ma, "a").join(mb, "b").select(F.col("ma").alias("a"), F.col("mb").alias("b")).where("a <> b")
         rest = materialize(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         discard(left)
-        if labels is not None and getattr(labels, "_medlake_path", None):
+        if labels._medlake_path != step._medlake_path:
             discard(step)
         left = rest
         if left.isEmpty():

@@ -32,9 +32,9 @@ from medlake.llm import setsketch as ss
 from medlake.llm.components import connected_components
 from medlake.llm.skew import join_classes
 from medlake.llm.words import U, digests, split_words, string_bytes, text_slices, tidy, window_hash, window_starts
-from medlake.plans.shared import discard, materialize
+from medlake.plans.shared import materialize, scratch
 
-BLOCK_ROWS, BLOCK_BYTES, BITMAP_BITS = 4096, 32 << 20, 1 << 24
+BLOCK_ROWS, BLOCK_BYTES, BITMAP_BITS, HUB_ROWS = 4096, 32 << 20, 1 << 24, 1024
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,10 +93,18 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, ss.M)
 
 
+def _with_hub(pairs: DataFrame, side: DataFrame) -> DataFrame:
+    """Pairs (a, b) joined to what ``side`` has for a; a hub of many pairs is copied once for every ``HUB_ROWS`` of them."""
+    counts = materialize(pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("s", F.ceil(F.col("n") / HUB_ROWS)), "hubs")
+    salted = join_classes(pairs, counts, ["a"]).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("s"))).drop("s")
+    copies = counts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)).alias("salt")).join(side, "a")
+    return salted.join(copies, ["a", "salt"]).drop("salt")
+
+
 def _likely(pairs: DataFrame, reps: DataFrame, cut: float) -> DataFrame:
     """Pairs (a, b) whose joint estimate reaches ``cut``."""
     half = reps.select("id", "n_shingles", "regs")
-    full = pairs.join(half.toDF("a", "na", "ra"), "a").join(half.toDF("b", "nb", "rb"), "b").select("a", "b", "na", "nb", "ra", "rb")
+    full = _with_hub(pairs, half.toDF("a", "na", "ra")).join(half.toDF("b", "nb", "rb"), "b").select("a", "b", "na", "nb", "ra", "rb")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +155,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, tables: DataFrame, percent: int) -> DataFrame:
-    full = pairs.join(tables.toDF("a", "sa"), "a").join(tables.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    full = _with_hub(pairs, tables.toDF("a", "sa")).join(tables.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,13 +189,18 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _blocks(rows: DataFrame, weight: str, limit: int, payload: list[str], least: int) -> DataFrame:
-    """Rows of each hub's group of ``least`` rows or more dealt to blocks of about ``limit`` weight, once for each pair of blocks."""
+def _blocks(rows: DataFrame, weight: str, limit: int, least: int) -> DataFrame:
+    """(hub, bi, bj, block, id, component): rows of each hub's group of ``least`` rows or more, dealt to blocks of about ``limit`` weight, once for each pair of blocks.
+
+    Groups of one component are settled and go.  What a block compares is joined by id
+    afterwards, so that no exchange is dealt by hub.
+    """
+    rows = materialize(rows.select("hub", "id", "component", weight), "rows")
     total = rows.groupBy("hub").agg(F.sum(weight).alias("w"), F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    total = total.where((F.col("n") >= least) & (F.col("lo") != F.col("hi"))).select("hub", F.ceil(F.col("w") / limit).alias("blocks"))
-    rows = rows.join(total, "hub").withColumn("block", F.pmod(F.xxhash64("id", "hub"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return rows.select("hub", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "id", "component", *payload)
+    total = materialize(total.where((F.col("n") >= least) & (F.col("lo") != F.col("hi"))).select("hub", "n", F.ceil(F.col("w") / limit).alias("blocks")), "hubs")
+    dealt = join_classes(rows, total, ["hub"]).withColumn("block", F.pmod(F.xxhash64("id", "hub"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.select("hub", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "id", "component")
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -209,7 +222,7 @@ def _open_rows(groups: DataFrame, reps: DataFrame, comp: DataFrame, cut: float)
     """(hub, id) rows that have a likely partner of another component in their hub's group."""
     rows = groups.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")).withColumn("one", F.lit(1))
     # a hub and one member are compared already
-    rows = _dealt(_blocks(rows, "one", BLOCK_ROWS, [], 3).join(reps.select("id", "n_shingles", "regs"), "id").select("hub", "bi", "bj", "block", "id", "component", "n_shingles", "regs"))
+    rows = _dealt(_blocks(rows, "one", BLOCK_ROWS, 3).join(reps.select("id", "n_shingles", "regs"), "id").select("hub", "bi", "bj", "block", "id", "component", "n_shingles", "regs"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 3):
@@ -233,8 +246,9 @@ def _open_rows(groups: DataFrame, reps: DataFrame, comp: DataFrame, cut: float)
 
 def _open_links(rows: DataFrame, tables: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components in each hub's group, on full sets; one for a row and component."""
-    full = rows.join(tables, "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")).withColumn("w", F.octet_length("shingles"))
-    dealt = _dealt(_blocks(full, "w", BLOCK_BYTES, ["shingles"], 2))
+    sizes = tables.select("id", F.octet_length("shingles").alias("w"))
+    full = rows.join(sizes, "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    dealt = _dealt(_blocks(full, "w", BLOCK_BYTES, 2).join(tables, "id").select("hub", "bi", "bj", "block", "id", "component", "shingles"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 3):
@@ -271,29 +285,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     linked with nothing.  Ids must be unique integers; rows with a null id stay, each with
     null component and kept true.  Further columns of ``docs`` are ignored.
     """
-    cut = percent / 100 - 4 * math.sqrt(percent / 100 * (1 - percent / 100) / ss.M)
-    sk = materialize(sketch(docs, shingle, id_col, text_col), "sketch")
-    some = sk.where("n_shingles > 0 and id is not null").select("id", "n_shingles", "h1", "h2")
-    many = materialize(some.groupBy("n_shingles", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "classes")
-    copies = materialize(join_classes(some, many, ["n_shingles", "h1", "h2"]).select("id", "rep"), "copies")
-    reps = materialize(sk.where("n_shingles > 0 and id is not null").select("id", "n_shingles", "regs").join(copies.where("id <> rep"), "id", "left_anti"), "reps")
-
-    bands = reps.select("id", F.explode(_band_keys(F.col("regs"))).alias("key"))
-    keys = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    star = materialize(bands.join(keys, "key").where("id <> hub").select("hub", "id").distinct(), "star")
-    likely = materialize(_likely(star.toDF("a", "b"), reps, cut), "likely")
-    tables = materialize(_shingle_tables(docs, _ends(likely), id_col, text_col, shingle), "sets")
-    links = materialize(_verify(likely, tables, percent), "links")
-    comp = connected_components(links)
-
-    groups = star.union(star.select("hub", F.col("hub").alias("id")).distinct())
-    rows = materialize(_open_rows(groups, reps, comp, cut), "open")
-    lacking = rows.select("id").distinct().join(tables, "id", "left_anti")
-    rest = materialize(_shingle_tables(docs, lacking, id_col, text_col, shingle), "sets")
-    more = materialize(_open_links(rows, tables.union(rest), comp, percent), "links")
-    if not more.isEmpty():
-        comp = connected_components(links.union(more))
-    discard(many, star, likely, tables, rest, links, more)
+    with scratch() as hand_over:
+        cut = percent / 100 - 4 * math.sqrt(percent / 100 * (1 - percent / 100) / ss.M)
+        sk = materialize(sketch(docs, shingle, id_col, text_col), "sketch")
+        some = sk.where("n_shingles > 0 and id is not null").select("id", "n_shingles", "h1", "h2")
+        many = materialize(some.groupBy("n_shingles", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "classes")
+        copies = materialize(join_classes(some, many, ["n_shingles", "h1", "h2"]).select("id", "rep"), "copies")
+        reps = materialize(sk.where("n_shingles > 0 and id is not null").select("id", "n_shingles", "regs").join(copies.where("id <> rep"), "id", "left_anti"), "reps")
+
+        bands = reps.select("id", F.explode(_band_keys(F.col("regs"))).alias("key"))
+        keys = materialize(bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "keys")
+        star = materialize(join_classes(bands, keys, ["key"]).where("id <> hub").select("hub", "id").distinct(), "star")
+        likely = materialize(_likely(star.toDF("a", "b"), reps, cut), "likely")
+        tables = materialize(_shingle_tables(docs, _ends(likely), id_col, text_col, shingle), "sets")
+        links = materialize(_verify(likely, tables, percent), "links")
+        comp = connected_components(links)
+
+        groups = star.union(star.select("hub", F.col("hub").alias("id")).distinct())
+        rows = materialize(_open_rows(groups, reps, comp, cut), "open")
+        lacking = rows.select("id").distinct().join(tables, "id", "left_anti")
+        rest = materialize(_shingle_tables(docs, lacking, id_col, text_col, shingle), "sets")
+        more = materialize(_open_links(rows, tables.union(rest), comp, percent), "links")
+        if not more.isEmpty():
+            comp = connected_components(links.union(more))
+        hand_over(sk, copies, comp)
 
     full = sk.select("id", "n_shingles").join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     full = full.join(comp.toDF("rep", "component"), "rep", "left")

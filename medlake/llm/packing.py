@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from medlake.llm.word_tokens import word_ids
 from medlake.llm.words import tidy
-from medlake.plans.shared import materialize
+from medlake.plans.shared import materialize, scratch
 
 END_ID = 1
 
@@ -71,6 +71,17 @@ def _quanta(lens: DataFrame, window: int, shares: dict[str, float] | None) -> tu
     return sums.select("source", quantum.alias("_quantum"))
 
 
+def _packets(lens: DataFrame, window: int, packet: int, shares: dict[str, float] | None) -> DataFrame:
+    """(row, source, i, begin, size, round) of each packet of (row, id, source, n_tokens)."""
+    queue = prefix_sum(lens, ["source"], ["id", "row"], "n_tokens", "at")
+    queue = queue.join(_quanta(lens, window, shares), "source")
+    parts = queue.select("row", "source", "n_tokens", "at", "_quantum", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / packet))).alias("i"))
+    size = F.least(F.lit(packet), F.col("n_tokens") - F.col("i") * packet)
+    parts = parts.select("row", "source", "i", (F.col("at") + F.col("i") * packet).alias("begin"), size.cast("long").alias("size"), "_quantum")
+    parts = parts.select("row", "source", "i", "begin", "size", F.ceil((F.col("begin") + F.col("size")) / F.col("_quantum")).alias("round"))
+    return materialize(parts, "packets")
+
+
 def pack(docs: DataFrame, path: str, window: int = 2048, packet: int = 256, shares: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Pieces (id, start, length, ids, doc_tokens, sequence_id, offset) of all rows of ``docs``.
 
@@ -83,13 +94,9 @@ def pack(docs: DataFrame, path: str, window: int = 2048, packet: int = 256, shar
     """
     packed = materialize(tokens(docs, path, id_col, text_col, source_col).withColumn("row", F.monotonically_increasing_id()), "tokens")
     lens = packed.select("row", "id", "source", "n_tokens")
-    queue = prefix_sum(lens, ["source"], ["id", "row"], "n_tokens", "at")
-    queue = queue.join(_quanta(lens, window, shares), "source")
-    parts = queue.select("row", "source", "n_tokens", "at", "_quantum", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / packet))).alias("i"))
-    size = F.least(F.lit(packet), F.col("n_tokens") - F.col("i") * packet)
-    parts = parts.select("row", "source", "i", (F.col("at") + F.col("i") * packet).alias("begin"), size.cast("long").alias("size"), "_quantum")
-    parts = parts.select("row", "source", "i", "begin", "size", F.ceil((F.col("begin") + F.col("size")) / F.col("_quantum")).alias("round"))
-    parts = materialize(parts, "packets")
+    with scratch() as hand_over:
+        parts = _packets(lens, window, packet, shares)
+        hand_over(parts)
     groups = parts.groupBy("round", "source").agg(F.sum("size").alias("size"), F.min("begin").alias("first"))
     groups = prefix_sum(groups.withColumn("_one", F.lit(0)), ["_one"], ["round", "source"], "size", "base").drop("_one", "size")
     placed = parts.join(groups, ["round", "source"]).select("row", F.struct("i", (F.col("base") + F.col("begin") - F.col("first")).alias("place")).alias("p"))

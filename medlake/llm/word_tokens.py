@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +24,8 @@ SPACES = re.compile("[ \t-\r]+")
 FILE_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Words in the younger of two generations of the memo; the older one holds as many.
 MEMO = 200_000
+#: The array type of four unsigned bytes.
+ID_CODE = next(c for c in "IL" if array(c).itemsize == 4)
 
 
 def byte_alphabet() -> list[str]:
@@ -61,7 +65,10 @@ class WordIds:
         return word if word.isascii() else "".join(self.alphabet[b] for b in word.encode())
 
     def _word(self, word: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(self._mapped(word))], "<u4").tobytes()
+        ids = array(ID_CODE, [t.id for t in self.model.tokenize(self._mapped(word))])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _plain(self, text: str) -> bytes:
         words, memo, older = self.WORDS.findall(self._prepared(text)), self.memo, self.older

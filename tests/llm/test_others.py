@@ -21,9 +21,13 @@ def test_zip_both_ways():
         z = zip_ranges.StoredWriter(sink, wide)
         z.add("a/b.txt", [b"hello ", b"world"])
         z.add("ü", [])
+        z.open("late")
+        z.write(b"one ")
+        z.write(b"two")
+        z.shut()
         z.close()
         with zipfile.ZipFile(io.BytesIO(sink.getvalue())) as other:
-            assert other.namelist() == ["a/b.txt", "ü"] and other.read("a/b.txt") == b"hello world" and other.testzip() is None
+            assert other.namelist() == ["a/b.txt", "ü", "late"] and other.read("late") == b"one two" and other.read("a/b.txt") == b"hello world" and other.testzip() is None
         members = zip_ranges.directory(sink, len(sink.getvalue()))
         at = zip_ranges.data_at(sink, members[0])
         assert sink.getvalue()[at : at + members[0].size] == b"hello world"
@@ -53,6 +57,21 @@ def test_warc_round_trip(spark):
             assert (r.record_type, r.refers_to) == (("revisit", 3) if revisit else ("response", None))
             assert bytes(r.payload) == (b"" if revisit else raw)
     assert warc.round_trip(df.limit(0)).count() == 0
+    again = warc.round_trip(df.union(df)).collect()  # repeated ids: each row is a record
+    assert len(again) == 2 * len(rows) and {r.refers_to for r in again if r.page_id in (1, 2)} == {3} and all(r.record_type == "response" for r in again if r.page_id == 3)
+
+
+def test_warc_damage_is_noticed(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "body " * 300)], "page_id long, url string, html string").coalesce(1)
+    packages = warc.write_packages(warc.mark_revisits(df), f"file://{tmp_path}/p")
+    path = next((tmp_path / "p").glob("*.wacz"))
+    whole = path.read_bytes()
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None and z.getinfo(warc.ARCHIVE).compress_type == 0
+    for at in (100, whole.index(b"20240101000000")):  # in the record, in the index
+        path.write_bytes(whole[:at] + bytes([whole[at] ^ 1]) + whole[at + 1 :])
+        with pytest.raises(Exception):
+            warc.read_packages(packages).collect()
 
 
 def test_language(spark):
@@ -80,12 +99,32 @@ def test_url_filter(spark):
     lists = spark.createDataFrame(entries, "key string, at date, action string, category string")
     got = url_filter.filter_urls(caps, lists, "page_id").collect()
     assert len(got) == len(rows)
+    addresses = [("10.1.2.3", day(1), "add", "ip"), ("2.3", day(1), "add", "no parent"), ("[::1]", day(1), "add", "six"), ("[", day(1), "add", "no")]
+    asked = spark.createDataFrame([(1, "http://10.1.2.3:80/x", day(2)), (2, "http://9.1.2.3/", day(2)), (3, "http://[::1]:8080/a", day(2)), (4, "http://[::2]/a", day(2))], "page_id long, url string, fetched_at date")
+    own = {r.page_id: r.matched_key for r in url_filter.filter_urls(asked, spark.createDataFrame(addresses, "key string, at date, action string, category string"), "page_id").collect()}
+    assert own == {1: "10.1.2.3", 2: None, 3: "[::1]", 4: None}
     want = {1: None, 2: "bad.com", 3: None, 4: "a.bad.com", 5: "bad.com", 6: "ok.org/p", 7: None, 8: None, 9: None, 10: None, 11: None}
     assert all(r.matched_key == want[r.page_id] and r.blocked == (want[r.page_id] is not None) for r in got)
     assert url_filter.filter_urls(caps.limit(0), lists, "page_id").count() == 0
     assert not any(r.blocked for r in url_filter.filter_urls(caps, lists.limit(0), "page_id").collect())
 
 
+def test_as_of_join_matches_every_interval(spark):
+    """Many intervals and times of few keys, one of them hot, against a look at every interval."""
+    r = random.Random(6)
+    at = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=n)
+    entries = [(f"k{min(r.randrange(9), 2)}.com", at(r.randrange(5000)), r.choice(["add", "add", "remove"]), f"c{i}") for i in range(400)]
+    caps = [(i, f"http://k{min(r.randrange(9), 3)}.com/p{r.randrange(3)}", at(r.randrange(-100, 5200))) for i in range(2000)]
+    lists = spark.createDataFrame(entries, "key string, at timestamp, action string, category string")
+    got = {x.page_id: (x.blocked, x.category, x.listed_since) for x in url_filter.filter_urls(spark.createDataFrame(caps, "page_id long, url string, fetched_at timestamp"), lists, "page_id").collect()}
+    for i, url, t in caps:
+        own = [e for e in entries if e[0] == url.split("/")[2] and e[1] <= t]
+        last = max((e[1] for e in own), default=None)
+        now = sorted((e[2] != "add", e[3]) for e in own if e[1] == last)
+        want = (True, now[-1][1], last) if now and not now[-1][0] else (False, None, None)
+        assert got[i] == want, (i, url, t)
+
+
 def test_epsilon_join_matches_brute_force(spark):
     rng = np.random.default_rng(3)
     centre = rng.normal(size=(6, 16))

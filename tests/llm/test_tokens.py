@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from medlake.llm import packing, sentencepiece_codec, token_counts
 from medlake.llm.word_tokens import WordIds
+from medlake.plans.shared import small_batches
 
 P = pytest.importorskip("public_tokenizers")
 WORD, BYTE, PIECE = (P.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -103,6 +104,39 @@ def test_windows_keep_the_mixture(spark):
     assert len(whole) > 10 and all(abs(s["b"] / 1024 - 0.25) <= 2 * 64 / 1024 for s in whole)
 
 
+def test_target_shares_hold_until_a_queue_runs_dry(spark, library):
+    """Shares of 3 to 1, a source without a target, and one that is short: windows keep the target while both have tokens."""
+    text = "lorem ipsum dolor sit amet " * 20
+    rows = [(i, text, None, "a", 1, "z", 1, "r") for i in range(60)] + [(100 + i, text, None, "b", 1, "z", 1, "r") for i in range(60)] + [(200 + i, text, None, "c" if i else None, 1, "z", 1, "r") for i in range(5)]
+    got = packing.pack(documents(spark, rows), WORD, window=512, packet=32, shares={"a": 3.0, "b": 1.0}).collect()
+    check_packing(got, {r[0]: [r[1]] for r in rows}, library, 512)
+    source = {r[0]: r[3] for r in rows}
+    seq: dict = {}
+    for r in got:
+        seq.setdefault(r.sequence_id, {}).setdefault(source[r.doc_id], []).append(r.length)
+    total = sum(r.length for r in got if source[r.doc_id] == "a")
+    dry = int(total / 0.75 / 512)  # windows until queue a is empty
+    for s in range(dry - 1):
+        assert abs(sum(seq[s].get("a", [])) / 512 - 0.75) <= 2 * 32 / 512 and set(seq[s]) == {"a", "b"}
+    carried = sum(sum(seq[s].get("a", [])) for s in range(dry - 1))
+    assert abs(carried - 0.75 * 512 * (dry - 1)) <= 2 * 32  # deficits are carried on, not lost
+    last = [s for s in seq if "c" in seq[s] or None in seq[s]]
+    assert min(last) > dry - 2 and max(last) == max(seq)  # sources without a target come last
+
+
+def test_a_text_beyond_a_batch(spark, library):
+    """One text of some 9 MB, longer than a slice and an Arrow batch, beside small ones."""
+    r = np.random.default_rng(1)
+    words = ["".join(chr(97 + x) for x in r.integers(0, 26, 6)) for _ in range(500)]
+    long = " ".join(words[i] for i in r.integers(0, 500, 1_300_000))
+    rows = [(1, "small one", None, "a", 1, "z", 1, "r"), (2, long, None, "a", 1, "z", 1, "r"), (3, "small two", None, "b", 1, "z", 1, "r")]
+    small_batches(spark)
+    got = packing.pack(documents(spark, rows), WORD).collect()
+    check_packing(got, {x[0]: [x[1]] for x in rows}, library, 2048)
+    ids = {x.doc_id: list(x.ids) for x in sentencepiece_codec.encode_texts(documents(spark, rows), PIECE).collect()}
+    assert ids[2] == library[0].encode(long, add_eos=True) and ids[3] == library[0].encode("small two", add_eos=True)
+
+
 def test_allocation_rules():
     lengths, ends = np.array([2, 4, 3]), np.array([3, 5, 9])  # the second token covers bytes 2 to 5
     assert token_counts.allocate(lengths, ends, "first")[0].tolist() == [0, 0, 2]
@@ -125,3 +159,21 @@ def test_section_counts_add_up(spark, library):
     with pytest.raises(ValueError):
         token_counts.section_tokens(documents(spark, rows), BYTE, ["text"], "other")
     assert token_counts.section_tokens(spark.createDataFrame([], SCHEMA), BYTE, ["text"]).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([" ", "   ", "▁", "a", "the", "\n", "日"]), max_size=60))
+def test_runs_of_spaces_go_through_the_table(library, parts):
+    c, text = sentencepiece_codec.codec(PIECE), "".join(parts)
+    assert np.frombuffer(c.encode(text), "<i4").tolist() == library[0].encode(text, add_eos=True)
+
+
+def test_long_texts_and_small_memos_give_the_same_ids(library, monkeypatch):
+    r = np.random.default_rng(0)
+    text = " ".join("".join(chr(97 + x) for x in r.integers(0, 26, r.integers(1, 12))) for _ in range(20_000)) + " " * 5000
+    want = library[0].encode(text, add_eos=True)
+    monkeypatch.setattr(sentencepiece_codec, "MEMO", 400)
+    monkeypatch.setattr(sentencepiece_codec, "PAIRS", 100)
+    c = sentencepiece_codec.Codec(PIECE)
+    assert np.frombuffer(c.encode(text), "<i4").tolist() == want
+    assert c.decode(want) == library[0].decode(want) == text.rstrip(" ") + " " * 5000
