@@ -16,26 +16,39 @@ from medlake.plans.shared import materialize, small_batches
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the calibrated language model rejects go."""
+    """Documents that the calibrated language model rejects go, null texts and those without letters among them."""
     small_batches(spark)
     return language_id.keep_accepted(docs, language_id.train(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked on five-word shingles at 0.8, the smallest id stays."""
+    """Of each group linked on five-word shingles at 0.8, the smallest id stays.
+
+    Rows that share an id are one document here: they stay or go together.  Rows with a
+    null id, and those without words, stay.
+    """
     small_batches(spark)
-    found = minhash_dedup.near_duplicates(docs, shingle=5, percent=80)
-    return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    found = minhash_dedup.near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80)
+    gone = found.where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more that an earlier document has go; so do documents left without words by that."""
+    """Passages of 50 words and more that an earlier document has go; so do documents left without words by that.
+
+    A text that loses nothing stays as it is, a null one null; ``n_chars`` of a changed text
+    is counted anew.  Each row goes through on its own, whatever id it has: null ids count
+    as the last, and rows that share one leave each other alone.
+    """
     small_batches(spark)
-    kept = substring_dedup.remove_repeats(docs, length=50, keep_clean=True).where("n_removed = 0 or n_removed < n_words")
-    rest = docs.select(*(c for c in docs.columns if c not in ("text", "n_chars")), F.col("text").isNull().alias("_no_text"), F.col("n_chars").alias("_n_chars"))
-    text = F.when(~F.col("_no_text"), F.col("kept_text"))
-    both = rest.join(kept, "doc_id").withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("_n_chars")).otherwise(F.char_length("text").cast("long")))
-    return both.select(docs.columns)
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    rows = docs.select("text", *(F.col(c).alias(a) for c, a in own.items()), F.col("text").isNull().alias("no_text"))
+    kept = substring_dedup.remove_repeats(rows, length=50, id_col=own["doc_id"], keep_clean=True, carry=[*(a for c, a in own.items() if c != "doc_id"), "no_text"])
+    kept = kept.where("n_removed = 0 or n_removed < n_words")
+    value = {c: F.col(a).cast(docs.schema[c].dataType) for c, a in own.items()}
+    value["text"] = F.when(~F.col("no_text"), F.col("kept_text"))
+    value["n_chars"] = F.when(F.col("n_removed") == 0, value["n_chars"]).otherwise(F.char_length("kept_text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*(value[c].alias(c) for c in docs.columns))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
