@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,29 +11,32 @@ from medlake.functions.text import tokens
 from medlake.plans.shared import materialize
 
 
-def descendants(edges: DataFrame, root: DataFrame, max_depth: int = 64) -> DataFrame:
+def descendants(edges: DataFrame, root: DataFrame) -> DataFrame:
     """(node, depth) reachable from ``root(node)`` over ``edges(parent, child)``, least depth.
 
-    Breadth first, a level a round; cycles end because visited nodes don't come again.
+    Breadth first, a level a round, however many there are; cycles end because visited
+    nodes don't come again.
     """
-    seen = frontier = materialize(root.select("node").distinct().withColumn("depth", F.lit(0)), "level")
-    for depth in range(1, max_depth + 1):
+    edges = materialize(edges.select("parent", "child").distinct(), "edges", release=False)
+    seen = frontier = materialize(root.select("node").distinct().withColumn("depth", F.lit(0)), "level", release=False)
+    for depth in count(1):
         step = frontier.select(F.col("node").alias("parent")).join(edges, "parent").select(F.col("child").alias("node")).distinct()
-        frontier = materialize(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), "level")
+        frontier = materialize(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), "level", release=False)
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.union(frontier)
-    return seen
+        if depth % 16 == 0:  # a plan of few files, also in a deep hierarchy
+            seen = materialize(seen, "seen", release=False)
 
 
 def hops(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
     """(source, node, hops): fewest undirected steps from each source, up to a bound."""
     both = edges.select(F.col("parent").alias("x"), F.col("child").alias("y"))
-    both = materialize(both.union(both.select("y", "x")).distinct(), "edges")
-    seen = frontier = materialize(sources.select(F.col("node").alias("source"), "node").distinct().withColumn("hops", F.lit(0)), "level")
+    both = materialize(both.union(both.select("y", "x")).distinct(), "edges", release=False)
+    seen = frontier = materialize(sources.select(F.col("node").alias("source"), "node").distinct().withColumn("hops", F.lit(0)), "level", release=False)
     for h in range(1, max_hops + 1):
         step = frontier.join(both, frontier["node"] == both["x"]).select("source", F.col("y").alias("node")).distinct()
-        frontier = materialize(step.join(seen, ["source", "node"], "left_anti").withColumn("hops", F.lit(h)), "level")
+        frontier = materialize(step.join(seen, ["source", "node"], "left_anti").withColumn("hops", F.lit(h)), "level", release=False)
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
@@ -41,9 +46,9 @@ def hops(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
 def ground(phrases: DataFrame, terms: DataFrame) -> DataFrame:
     """(phrase_id, outcome, node): the one node a phrase names.
 
-    Terms with several nodes are ambiguous and unused.  Token spans that equal a term, of
-    any length, are kept unless a longer kept span contains them.  A phrase is grounded if its spans name
-    one node, and the span has two tokens or is the whole phrase.
+    Terms with several nodes are ambiguous and unused.  Token spans that equal a term,
+    of any length, are kept unless a longer kept span contains them.  A phrase is grounded
+    if its spans name one node, and the span has two tokens or is the whole phrase.
     """
     t = terms.select(F.array_join(tokens(F.col("term")), " ").alias("gram"), "node").where("gram <> ''").distinct()
     t = t.groupBy("gram").agg(F.min("node").alias("node"), F.count("*").alias("_n")).where("_n = 1").drop("_n")

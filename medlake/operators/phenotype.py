@@ -57,14 +57,24 @@ def numeric_first(code: Column) -> list[Column]:
 def window_labels(anchors: DataFrame, events: DataFrame, person: str, key: str, anchor_at: str, event_at: str, code: str, before: str | None = None, after: str = "INTERVAL '0' SECOND") -> DataFrame:
     """Distinct (key, code) of a person's events up to, or in a window around, each anchor.
 
-    The join is on the person, with the time as a residual; events are reduced to distinct
-    (person, code, time) first.
+    With an open past, only the first of a person's events of each code counts.  A window
+    is looked up by slices of time as long as itself, so a person's events meet the anchors
+    around them and no others.
     """
-    ev = events.select(person, F.col(event_at).alias("_e"), code).distinct()
-    both = anchors.select(key, person, F.col(anchor_at).alias("_a")).join(ev, person)
-    hit = F.col("_e") <= F.col("_a") + F.expr(after)
-    if before:
-        hit &= F.col("_e") >= F.col("_a") - F.expr(before)
+    ev = events.select(person, F.col(event_at).alias("_e"), code)
+    an = anchors.select(key, person, F.col(anchor_at).alias("_a"))
+    if before is None:
+        both = an.join(ev.groupBy(person, code).agg(F.min("_e").alias("_e")), person)
+        return both.where(F.col("_e") <= F.col("_a") + F.expr(after)).select(key, code).distinct()
+    origin = "timestamp'2000-01-01 00:00:00'"
+    span = anchors.sparkSession.sql(f"SELECT unix_timestamp({origin} + {after}) - unix_timestamp({origin} - {before}) AS s").first().s
+    slack = 86400  # a day, for the shifts of local time
+    second = lambda t: F.unix_timestamp(t.cast("timestamp"))
+    place = lambda s: F.floor(s / F.lit(max(span, 1) + 2 * slack)).cast("long")
+    low, high = second(F.col("_a") - F.expr(before)) - slack, second(F.col("_a") + F.expr(after)) + slack
+    near = an.withColumn("_slice", F.explode(F.sequence(place(low), place(high))))
+    both = near.join(ev.distinct().withColumn("_slice", place(second(F.col("_e")))), [person, "_slice"])
+    hit = (F.col("_e") <= F.col("_a") + F.expr(after)) & (F.col("_e") >= F.col("_a") - F.expr(before))
     return both.where(hit).select(key, code).distinct()
 
 

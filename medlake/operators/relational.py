@@ -65,17 +65,12 @@ def greedy_budget(groups: DataFrame, size: str, key: str, target: int, over: int
     """Groups in ascending size, accepted while the running total stays within ``target + over``,
     or starts below ``target - under`` (W8).
 
-    Totals only rise, so what is accepted is a prefix and one running sum decides it.  The
-    sum runs over one row for each (size), then inside a size by arithmetic, so the window
-    sees as many rows as there are distinct sizes.
+    Totals only rise, so what is accepted is a prefix and one running sum over ranges
+    decides it, however many groups share a size.
     """
-    sizes = groups.groupBy(size).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum(F.col(size) * F.col("_n")).over(Window.orderBy(size).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(size, before.alias("_before"))
-    ranked = groups.withColumn("_k", F.row_number().over(Window.partitionBy(size).orderBy(key)))
-    run = ranked.join(sizes, size).withColumn("running", F.col("_before") + F.col("_k") * F.col(size))
+    run = with_ordinal(groups, [F.col(size), F.col(key)], "_before", F.col(size)).withColumn("running", F.col("_before") + F.col(size))
     accepted = (F.col("running") <= target + over) | (F.col("running") - F.col(size) < target - under)
-    return run.withColumn("accepted", accepted).drop("_before", "_k")
+    return run.withColumn("accepted", accepted).drop("_before")
 
 
 def hash_order(key: str | Column, seed: str) -> Column:
@@ -196,3 +191,12 @@ def sorted_means(named: dict[str, DataFrame], columns: list[str]) -> DataFrame:
     parts = [df.agg(*(F.avg(c).alias(c) for c in columns)).select(F.lit(name).alias("source"), F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("mean")) for c in columns))).alias("x")).select("source", "x.*") for name, df in named.items()]
     w = Window.partitionBy("source").orderBy(F.col("mean").desc_nulls_last(), "column")  # one row for each column
     return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w).cast("bigint"))
+
+
+def shared_top(rows: DataFrame, label: str, item: str, order: list[Column]) -> DataFrame:
+    """(label, item, n_labels): each label's first item and how many labels have the same one.
+
+    Labels are counted for each item, never paired with one another.
+    """
+    first = keep_one(rows, [label], order).select(label, item)
+    return first.join(first.groupBy(item).agg(F.count("*").alias("n_labels")), item).select(label, item, "n_labels")

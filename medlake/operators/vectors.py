@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medlake.functions.vectors import dot, mean_vector, norm, normalize
+from medlake.plans.shared import beside
 
 #: Queries a task holds; rows of either side in one product.
 QUERY_BLOCK, TILE = 8192, 2048
@@ -202,6 +203,7 @@ def centroid_pairs(groups: DataFrame, key: str, v: str) -> DataFrame:
     c = groups.select(key, F.transform(F.arrays_zip(F.col(v).alias("x")), lambda s: s["x"]).alias("x")).withColumn("m", mean(F.col("x")))
     c = c.select(key, F.transform("x", lambda x: x - F.col("m")).alias("x"))
     c = c.select(key, "x", norm("x").alias("n"))
-    pair = c.select(F.col(key).alias("a"), F.col("x").alias("xa"), F.col("n").alias("na")).crossJoin(F.broadcast(c.select(F.col(key).alias("b"), F.col("x").alias("xb"), F.col("n").alias("nb"))))  # groups, not rows
+    left, right = (c.select(F.col(key).alias(s), F.col("x").alias(f"x{s}"), F.col("n").alias(f"n{s}")) for s in "ab")
+    pair = beside(left, right, F.col("b"))
     r = dot("xa", "xb") / F.nullif(F.col("na") * F.col("nb"), F.lit(0.0))
     return pair.where("a < b").select("a", "b", F.least(F.greatest(1 - r, F.lit(0.0)), F.lit(2.0)).alias("distance"))

@@ -15,7 +15,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,6 +85,16 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(conf).delete(where, True)
 
 
+def beside(rows: DataFrame, few: DataFrame, key: Column, most: int = 4096) -> DataFrame:
+    """Every row of ``rows`` with every row of ``few``, which has one for each value of ``key`` in it.
+
+    The values are counted first: up to ``most`` of them, ``few`` is broadcast; beyond, Spark
+    deals the product over tasks.
+    """
+    n = few.select(key).limit(most + 1).count()
+    return rows.crossJoin(F.broadcast(few) if n <= most else few)
+
+
 def small_batches(spark: SparkSession, rows: int = 500, size: str = "8m") -> None:
     """Bound what is held at once: rows and bytes of an Arrow batch, and rows of a Parquet batch.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medlake.operators import evaluation as ev
+from medlake.plans.shared import beside
 from medlake.queries.common import registrar, rounded, table
 
 QUERIES: dict = {}
@@ -58,7 +59,8 @@ def _draws(spark, sf, draws=20):
 
     s = scores(spark, sf)
     names = s.select("cluster").distinct().withColumn("_n", F.row_number().over(Window.orderBy("cluster")))  # one row for a source
-    weighted = s.join(ev.multiplicities(names, draws), "cluster")
+    tied = s.groupBy("cluster", "label", "score", "y").agg(F.count("*").alias("_c"))  # what the draws repeat is summed first
+    weighted = tied.join(ev.multiplicities(names, draws), "cluster").withColumn("mult", F.col("mult") * F.col("_c"))
     return ev.auc(weighted, ["draw", "label"], weight="mult")
 
 
@@ -92,7 +94,7 @@ def concept_scores(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
     c = mean_vector(e, ["label"], "v", "c").select(F.col("label").alias("concept"), "c")
     held = e.select("vec_id", "label", "v")
-    both = held.crossJoin(F.broadcast(c))  # one centroid for each of a fixed set of labels
+    both = beside(held, c, F.col("concept"))
     return both.select("vec_id", "concept", (F.col("label") == F.col("concept")).cast("int").alias("y"), F.round(dot("v", "c"), 9).alias("score"))
 
 

@@ -244,12 +244,10 @@ def retention_summary(spark, sf):
     return k.groupBy(F.when(F.col("kept") == 0, "none").when(F.col("kept") == 10, "all").otherwise("partial").alias("state")).agg(F.count("*").alias("labels"), F.sum("kept").alias("kept"))
 
 
-@query("topk_overlap", f"WITH {TOP}, s AS (SELECT * FROM t WHERE r <= 25) SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS shared FROM s a JOIN s b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY ALL")
+@query("topk_overlap", f"WITH {TOP} SELECT l_suppkey, l_partkey, count(*) OVER (PARTITION BY l_partkey) AS n_labels FROM t WHERE r = 1")
 def topk_overlap(spark, sf):
     g = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_extendedprice").alias("v"))
-    s = rel.keep_top(g, ["l_suppkey"], [F.col("v").desc(), F.col("l_partkey")], 25)
-    pair = s.select(F.col("l_suppkey").alias("a"), "l_partkey").join(s.select(F.col("l_suppkey").alias("b"), "l_partkey"), "l_partkey").where("a < b")
-    return pair.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return rel.shared_top(g, "l_suppkey", "l_partkey", [F.col("v").desc(), F.col("l_partkey")])
 
 
 @query("pivot_matrix", "SELECT o_orderpriority, arg_max(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END, o_orderkey) FILTER (o_orderstatus = 'F') AS f, arg_max(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END, o_orderkey) FILTER (o_orderstatus = 'O') AS o, arg_max(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END, o_orderkey) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1")

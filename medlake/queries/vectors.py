@@ -8,6 +8,7 @@ from medlake.functions.vectors import dot, mean_vector, norm, normalize
 from medlake.operators import ml, ontology
 from medlake.operators import relational as rel
 from medlake.operators import vectors as ve
+from medlake.plans.shared import beside
 from medlake.queries.common import registrar, rounded, table
 
 QUERIES: dict = {}
@@ -32,8 +33,7 @@ def centroids(spark, sf):
 
 
 def image_scores(spark, sf):
-    images = unit(spark, sf)
-    return images.crossJoin(F.broadcast(centroids(spark, sf)))  # a fixed set of labels
+    return beside(unit(spark, sf), centroids(spark, sf), F.col("c_label"))
 
 
 @query("vec_normalize", f"WITH {E}, {N} SELECT vec_id, round(sqrt(list_inner_product(v, v)), 6) AS norm, round(v[1], 6) AS first FROM n")
@@ -117,7 +117,7 @@ ALIGN = f"WITH {E}, {N}, {C}, {MEAN}, x AS (SELECT c_label, vec_id, list_inner_p
 
 def aligned(spark, sf):
     bank = ve.centred(unit(spark, sf).select("vec_id", "v"), "v", "k")
-    both = bank.crossJoin(F.broadcast(centroids(spark, sf)))  # a fixed set of labels
+    both = beside(bank, centroids(spark, sf), F.col("c_label"))
     return both.select("c_label", "vec_id", dot("c", "k").alias("a"), (dot("c", "k") / norm("c")).alias("cosine"))
 
 
