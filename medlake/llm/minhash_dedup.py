@@ -8,9 +8,9 @@
    smallest class under each of its keys, its hubs (stars, linear in the rows of a key).
 4. Pairs whose likelihood estimate from the registers is over four standard errors below
    the threshold go; the others are verified on their full sets.
-5. Classes that share a key share a hub.  In each hub's group, rows of different
-   components of the verified links are compared on their registers, in square blocks of
-   bounded size; the rows that have a likely partner are compared again on full sets, by
+5. Classes that share a key share a hub.  In each hub's group, rows outside its largest
+   component of verified links are compared with those of other components on their
+   registers, in blocks of bounded size; rows that have a likely partner again on full sets, by
    an inverted index for each pair of blocks.  What leaves a block is at most one row for
    each member, then one link for a row and component: no group is expanded into pairs.
 
@@ -34,7 +34,7 @@ from medlake.llm.skew import join_classes
 from medlake.llm.words import U, digests, split_words, string_bytes, text_slices, tidy, window_hash, window_starts
 from medlake.plans.shared import materialize, scratch
 
-BLOCK_ROWS, BLOCK_BYTES, BITMAP_BITS, HUB_ROWS = 4096, 32 << 20, 1 << 24, 1024
+BLOCK_ROWS, BLOCK_BYTES, BITMAP_BITS, HUB_ROWS = 512, 8 << 20, 1 << 24, 1024
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,16 +190,22 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def _blocks(rows: DataFrame, weight: str, limit: int, least: int) -> DataFrame:
-    """(hub, bi, bj, block, id, component): rows of each hub's group of ``least`` rows or more, dealt to blocks of about ``limit`` weight, once for each pair of blocks.
+    """(hub, bi, bj, block, id, component): rows of each hub's group of ``least`` rows or more, dealt to pairs of blocks of about ``limit`` weight.
 
-    Groups of one component are settled and go.  What a block compares is joined by id
-    afterwards, so that no exchange is dealt by hub.
+    Rows of a group's most frequent component are linked already: their blocks meet the
+    blocks of the others, which also meet one another.  Groups of one component are settled
+    and go.  What a block compares is joined by id afterwards, so that no exchange is dealt
+    by hub.
     """
     rows = materialize(rows.select("hub", "id", "component", weight), "rows")
-    total = rows.groupBy("hub").agg(F.sum(weight).alias("w"), F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    total = materialize(total.where((F.col("n") >= least) & (F.col("lo") != F.col("hi"))).select("hub", "n", F.ceil(F.col("w") / limit).alias("blocks")), "hubs")
-    dealt = join_classes(rows, total, ["hub"]).withColumn("block", F.pmod(F.xxhash64("id", "hub"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    each = rows.groupBy("hub", "component").agg(F.sum(weight).alias("w"), F.count("*").alias("n"))
+    total = each.groupBy("hub").agg(F.max(F.struct("n", "component", "w")).alias("m"), F.sum("w").alias("w"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+    blocks = lambda w: F.ceil(w / limit)
+    total = total.where((F.col("n") >= least) & (F.col("parts") > 1)).select("hub", "n", F.col("m.component").alias("main"), blocks(F.col("m.w")).alias("b"), blocks(F.col("w") - F.col("m.w")).alias("c"))
+    dealt = join_classes(rows, materialize(total, "hubs"), ["hub"])
+    main, hash_ = F.col("component") == F.col("main"), F.xxhash64("id", "hub")
+    dealt = dealt.withColumn("block", F.when(main, F.pmod(hash_, F.col("b"))).otherwise(F.col("b") + F.pmod(hash_, F.col("c"))))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(main, F.col("b")).otherwise(F.lit(0).cast("long")), F.col("b") + F.col("c") - 1)))
     return dealt.select("hub", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "id", "component")
 
 

@@ -73,6 +73,27 @@ def test_two_open_rows_without_their_hub_are_verified(spark):
     assert {(min(r), max(r)) for r in md._open_links(rows, tables, comp, 80).collect()} == {(5, 6)}
 
 
+def test_small_blocks_lose_no_link(spark, monkeypatch):
+    """Families of texts of middling similarity with near pairs inside, in blocks of a few rows."""
+    monkeypatch.setattr(md, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(md, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(md, "HUB_ROWS", 5)
+    r = random.Random(8)
+    common = [f"c{i}" for i in range(120)]
+    texts = []
+    for i in range(90):
+        own = [f"o{i}x{j}" for j in range(60)]
+        texts.append(common + own)
+        if i % 5 == 0:
+            near = common + own
+            near[r.randrange(len(near))] = "changed"
+            texts.append(near)
+    r.shuffle(texts)
+    rows = [(i, " ".join(t), None, None, None, None, None, None) for i, t in enumerate(texts)]
+    got = {x.doc_id: x.component_id for x in md.near_duplicates(documents(spark, rows), shingle=2).collect()}
+    assert got == near_components({r[0]: r[1] for r in rows}, 2)
+
+
 def test_empty_and_null_ids(spark):
     assert md.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert sd.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
