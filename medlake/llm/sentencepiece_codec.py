@@ -14,6 +14,8 @@ around line feeds.  Units repeat, so each worker keeps a bounded memo of their i
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +31,16 @@ MARK = "▁"
 MEMO = 200_000
 #: Pair tests kept at most; they are made again when needed.
 PAIRS = 1_000_000
+#: The array type of four signed bytes.
+ID_CODE = next(c for c in "il" if array(c).itemsize == 4)
+
+
+def pack(ids: list[int]) -> bytes:
+    """Ids as little-endian int32."""
+    out = array(ID_CODE, ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 class Codec:
@@ -56,6 +68,7 @@ class Codec:
         self.automaton.make_automaton()
         self.alone: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
+        self.shift = size.bit_length()
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.unit = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
@@ -70,13 +83,16 @@ class Codec:
 
     def merged(self, text: str) -> list[str]:
         """Merging by definition: best score first, leftmost among equals. For short strings."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda i: (self.score.get(parts[i] + parts[i + 1], -np.inf), -i))
-            if parts[best] + parts[best + 1] not in self.score:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return parts
+        parts, score = list(text), self.score.get
+        while True:
+            best, at = -np.inf, -1
+            for i in range(len(parts) - 1):
+                s = score(parts[i] + parts[i + 1])
+                if s is not None and s > best:
+                    best, at = s, i
+            if at < 0:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _fits_alone(self, t: int) -> bool:
         if t not in self.alone:
@@ -84,7 +100,7 @@ class Codec:
         return self.alone[t]
 
     def _fits(self, a: int, b: int) -> bool:
-        key = a << 32 | b
+        key = a << self.shift | b
         found = self.pairs.get(key)
         if found is None:
             found = self.pairs[key] = self.merged(self.piece[a] + self.piece[b]) == [self.piece[a], self.piece[b]]
@@ -97,7 +113,7 @@ class Codec:
             for i, c in enumerate(text):
                 if c not in self.chars:
                     last[i + 1] = -1
-        pairs = self.pairs
+        pair, shift = self.pairs.get, self.shift
         for end, (size, t) in self.automaton.iter(text):
             end += 1
             if last[end] is None:
@@ -107,7 +123,7 @@ class Codec:
                 if before < 0:
                     fit = self._fits_alone(t)
                 else:
-                    fit = pairs.get(before << 32 | t)
+                    fit = pair(before << shift | t)
                     if fit is None:
                         fit = self._fits(before, t)
                 if fit:
@@ -125,7 +141,7 @@ class Codec:
 
     def unit_bytes(self, unit: str) -> bytes:
         """The unit's ids as little-endian int32."""
-        return np.array(self.unit_ids(unit), "<i4").tobytes()
+        return pack(self.unit_ids(unit))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text and the end id, as little-endian int32; a long text goes unit by unit, some at a time."""
