@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from medlake.functions import clip
 from medlake.functions.vectors import dot, mean_vector
 from medlake.operators import ml, phenotype, probes
 from medlake.operators import relational as rel
@@ -14,6 +15,7 @@ from medlake.plans.shared import new_path
 from medlake.queries.common import registrar, rounded, table
 from medlake.queries.vectors import E, HOPS, N, aligned, centroids, unit, walked
 from medlake.sources import readers as rd
+from medlake.streaming import calls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -310,3 +312,26 @@ def balanced_probes(spark, sf):
     """A class-balanced probe for each label, and the constant one of a label that no row has."""
     z = ml.standardize(unit(spark, sf), "v", "z")
     return rounded(probes.per_label(z, "z", "label", [0, 1, -5], balanced=True), 3).select("label", "intercept", F.size("coefficients").alias("n"))
+
+
+@query("retry_calls", "SELECT p_partkey, CASE WHEN p_partkey % 5 < 3 THEN upper(p_name) END AS result, CASE WHEN p_partkey % 5 >= 3 THEN 'TimeoutError: attempt 3' END AS error, CAST(least(p_partkey % 5 + 1, 3) AS INTEGER) AS attempts FROM part")
+def retry_calls(spark, sf):
+    """An outside service that answers a part's number of attempts late, stood in for by a function."""
+
+    def service(text: str, attempt: int) -> str:
+        key, name = text.split(" ", 1)
+        if attempt <= int(key) % 5:
+            raise TimeoutError(f"attempt {attempt}")
+        return name.upper()
+
+    asked = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", F.col("p_partkey").cast("string"), "p_name").alias("text"))
+    return calls.call_each(asked, "p_partkey", "text", service, attempts=3, wait=0.0)
+
+
+@query("clip_tokens")
+def clip_tokens(spark, sf):
+    """Seventy-seven ids for each document, from a public vocabulary file."""
+    import public_tokenizers
+
+    d = table(spark, sf, "documents").select("doc_id", clip.token_ids(F.col("text"), public_tokenizers.path("word_bpe_49k.json")).alias("ids"))
+    return d.select("doc_id", F.size("ids").alias("n"), F.size(F.filter("ids", lambda x: x > 0)).alias("used"))

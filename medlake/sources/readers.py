@@ -59,6 +59,59 @@ def read_arrays(spark: SparkSession, path: str, member: str | None = None) -> Da
     return files.mapInPandas(unpack, "file string, row long, v array<double>")
 
 
+def _array_head(path: str, member: str | None):
+    """The open array file, where its numbers begin, its shape and its type."""
+    import zipfile
+
+    import numpy as np
+    from pyarrow import fs
+
+    if "://" not in path and not path.startswith("file:"):
+        path = f"file://{path}"
+    store, inside = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+    source = store.open_input_file(inside)
+    if member is not None:
+        with zipfile.ZipFile(source) as z:
+            info = z.getinfo(f"{member}.npy" if f"{member}.npy" in z.namelist() else member)
+        if info.compress_type != zipfile.ZIP_STORED:
+            raise ValueError(f"{member} is compressed; only stored members have rows at known places")
+        source = store.open_input_file(inside)
+        source.seek(info.header_offset + 26)
+        name, extra = (int.from_bytes(source.read(2), "little") for _ in range(2))
+        source.seek(info.header_offset + 30 + name + extra)
+    version = np.lib.format.read_magic(source)
+    shape, by_column, kind = np.lib.format.read_array_header_1_0(source) if version == (1, 0) else np.lib.format.read_array_header_2_0(source)
+    if by_column and len(shape) > 1:
+        raise ValueError("rows of an array stored by columns aren't together")
+    return source, source.tell(), shape, kind
+
+
+def read_array_rows(spark: SparkSession, path: str, member: str | None = None, task_rows: int = 65_536) -> DataFrame:
+    """(row, v) of one NPY file, or of a stored member of one NPZ file, by byte ranges.
+
+    Only the header is read on the driver; each task reads its own rows, so an array may
+    be larger than any worker's memory.
+    """
+    import numpy as np
+
+    source, _, shape, _ = _array_head(path, member)
+    source.close()
+    starts = spark.range(0, max(shape[0], 1), task_rows, max(1, -(-shape[0] // task_rows)))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, at, shape, kind = _array_head(path, member)
+        width = int(np.prod(shape[1:])) if len(shape) > 1 else 1
+        for b in batches:
+            for first in b["id"]:
+                for s in range(first, min(first + task_rows, shape[0]), 4096):
+                    n = min(4096, first + task_rows - s, shape[0] - s)
+                    source.seek(at + s * width * kind.itemsize)
+                    x = np.frombuffer(source.read(n * width * kind.itemsize), kind).astype("float64").reshape(n, width)
+                    yield pd.DataFrame({"row": np.arange(s, s + n), "v": list(x)})
+
+    return starts.mapInPandas(work, "row long, v array<double>")
+
+
 def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
     """Elements of XML files as rows."""
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
@@ -267,6 +320,65 @@ def read_nifti(spark: SparkSession, path: str, voxels: bool = False) -> DataFram
     return files.mapInPandas(unpack, "file string, shape array<int>, spacing array<double>, affine array<double>, voxels array<double>")
 
 
+#: Explicit value representations with a long length field, and the tags that are read.
+_LONG = {b"OB", b"OD", b"OF", b"OL", b"OV", b"OW", b"SQ", b"SV", b"UC", b"UN", b"UR", b"UT", b"UV"}
+_TAGS = {0x00020010: "syntax", 0x0020000E: "series", 0x00200013: "instance", 0x00200032: "position", 0x00280010: "rows", 0x00280011: "columns", 0x00280030: "spacing", 0x00280100: "bits", 0x00280103: "signed", 0x00281052: "intercept", 0x00281053: "slope", 0x7FE00010: "pixels"}
+
+
+def _dicom(raw: bytes) -> dict[str, bytes]:
+    """Values of the wanted tags of an explicit little-endian DICOM file."""
+    import struct
+
+    if raw[128:132] != b"DICM":
+        raise ValueError("no DICOM file")
+    at, out = 132, {}
+    while at + 8 <= len(raw):
+        group, element, kind = *struct.unpack_from("<HH", raw, at), raw[at + 4 : at + 6]
+        if kind in _LONG:
+            (size,), at = struct.unpack_from("<I", raw, at + 8), at + 12
+        else:
+            (size,), at = struct.unpack_from("<H", raw, at + 6), at + 8
+        if size == 0xFFFFFFFF:
+            raise ValueError("sequences of undefined length and packed pixels aren't read")
+        name = _TAGS.get(group << 16 | element)
+        if name:
+            out[name] = raw[at : at + size]
+        at += size
+    return out
+
+
+def read_dicom(spark: SparkSession, path: str, voxels: bool = True) -> DataFrame:
+    """(file, series, instance, z, shape, spacing, voxels) of uncompressed DICOM slices (S9); voxels by slope and intercept."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        text = lambda t, name: t.get(name, b"").decode("ascii", "replace").strip("\0 ")
+        numbers = lambda t, name: [float(x) for x in text(t, name).split("\\") if x.strip()]
+        for b in batches:
+            for name, raw in zip(b["path"], b["content"]):
+                t = _dicom(raw)
+                size = [int.from_bytes(t[x], "little") for x in ("rows", "columns")]
+                kind = f"<{'i' if int.from_bytes(t.get('signed', b''), 'little') else 'u'}{int.from_bytes(t.get('bits', bytes([16])), 'little') // 8}"
+                x = None
+                if voxels:
+                    x = np.frombuffer(t["pixels"], kind, size[0] * size[1]) * (numbers(t, "slope") or [1.0])[0] + (numbers(t, "intercept") or [0.0])[0]
+                place = numbers(t, "position")
+                yield pd.DataFrame({"file": [name], "series": [text(t, "series")], "instance": [int(text(t, "instance") or 0)], "z": [place[2] if len(place) == 3 else None], "shape": [size], "spacing": [numbers(t, "spacing")], "voxels": [x]})
+
+    return files.mapInPandas(unpack, "file string, series string, instance int, z double, shape array<int>, spacing array<double>, voxels array<double>")
+
+
+def stack_series(slices: DataFrame) -> DataFrame:
+    """(series, shape, spacing, voxels): each series' slices by place along the axis, then number; the distance between them is the median one."""
+    one = F.struct("z", "instance", "voxels")
+    s = slices.groupBy("series").agg(F.sort_array(F.collect_list(one)).alias("s"), F.first("shape").alias("plane"), F.first("spacing").alias("inside"))  # a series is one volume
+    gaps = F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.get("s", i)["z"] - F.get("s", i - 1)["z"])
+    gap = F.when(F.size("s") > 1, F.get(F.sort_array(gaps), F.floor((F.size("s") - 1) / 2).cast("int")))
+    return s.select("series", F.concat("plane", F.array(F.size("s"))).alias("shape"), F.concat("inside", F.array(gap)).alias("spacing"), F.flatten(F.transform("s", lambda x: x["voxels"])).alias("voxels"))
+
+
 @dataclass
 class Catalog:
     """Named Parquet tables of a folder, registered as views."""

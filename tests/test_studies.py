@@ -10,11 +10,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from medlake.functions import clip
 from medlake.functions import text as tx
 from medlake.operators import evaluation, ml, probes, relational, rules, studies, textmine
 from medlake.plans.cache import cached, content_key
 from medlake.plans.ordinal import with_ordinal
 from medlake.sources import readers as rd
+from medlake.streaming import calls
 
 
 def one(spark, column):
@@ -257,3 +259,66 @@ def test_shards_sinks_and_tables(spark, tmp_path):
     tex = rd.latex(df, "T")
     assert r"x\_1 & y \\" in tex and r'a "b" \& c\_d & 1.5000 \\' in tex and tex.startswith(r"\begin{longtable}{ll}")
     assert len(rd.markdown(spark.range(500)).splitlines()) == 502
+
+
+def test_array_rows_by_ranges(spark, tmp_path):
+    x = np.random.default_rng(0).normal(size=(1000, 3)).astype(np.float32)
+    np.save(tmp_path / "x.npy", x)
+    np.savez(tmp_path / "y.npz", other=np.zeros(5), emb=x)
+    np.savez_compressed(tmp_path / "z.npz", emb=x)
+    for path, member in (("x.npy", None), ("y.npz", "emb")):
+        df = rd.read_array_rows(spark, str(tmp_path / path), member, task_rows=300)
+        assert df.rdd.getNumPartitions() == 4
+        assert np.array_equal(np.array([r.v for r in df.orderBy("row").collect()], np.float32), x)
+    with pytest.raises(ValueError, match="compressed"):
+        rd.read_array_rows(spark, str(tmp_path / "z.npz"), "emb")
+
+
+def dicom(path, z, number, pixels):
+    def tag(group, element, kind, value):
+        value += b" " * (len(value) % 2) if kind not in (b"US", b"OW") else b""
+        head = struct.pack("<HH2s", group, element, kind)
+        return head + (struct.pack("<HI", 0, len(value)) if kind == b"OW" else struct.pack("<H", len(value))) + value
+
+    body = b"".join([
+        tag(0x2, 0x10, b"UI", b"1.2.840.10008.1.2.1"), tag(0x20, 0xE, b"UI", b"1.2.3"), tag(0x20, 0x13, b"IS", str(number).encode()), tag(0x20, 0x32, b"DS", f"0\\0\\{z}".encode()),
+        tag(0x28, 0x10, b"US", struct.pack("<H", 2)), tag(0x28, 0x11, b"US", struct.pack("<H", 2)), tag(0x28, 0x30, b"DS", b"0.5\\0.5"), tag(0x28, 0x100, b"US", struct.pack("<H", 16)),
+        tag(0x28, 0x103, b"US", struct.pack("<H", 1)), tag(0x28, 0x1052, b"DS", b"-10"), tag(0x28, 0x1053, b"DS", b"2"), tag(0x7FE0, 0x10, b"OW", np.array(pixels, "<i2").tobytes()),
+    ])
+    path.write_bytes(b"\0" * 128 + b"DICM" + body)
+
+
+def test_dicom_series(spark, tmp_path):
+    for i, z in enumerate((4.0, 0.0, 2.0)):
+        dicom(tmp_path / f"{i}.dcm", z, i, [i, -i, 5, 6])
+    slices = rd.read_dicom(spark, str(tmp_path / "*.dcm"))
+    v = rd.stack_series(slices).first()
+    assert (v.series, list(v.shape), list(v.spacing)) == ("1.2.3", [2, 2, 3], [0.5, 0.5, 2.0])
+    assert list(v.voxels) == [-8.0, -12.0, 0.0, 2.0, -6.0, -14.0, 0.0, 2.0, -10.0, -10.0, 0.0, 2.0]
+
+
+def test_calls_are_tried_again_and_resumed(spark):
+    rows = spark.createDataFrame([(1, "ok"), (2, "late"), (3, "never"), (4, None)], "k int, t string")
+
+    def call(text, attempt):
+        if text == "never" or (text == "late" and attempt < 2):
+            raise ConnectionError("busy")
+        return text.upper()
+
+    done = calls.call_each(rows, "k", "t", call, attempts=2, wait=0.0)
+    assert {(r.k, r.result, r.error, r.attempts) for r in done.collect()} == {(1, "OK", None, 1), (2, "LATE", None, 2), (3, None, "ConnectionError: busy", 2), (4, None, None, 0)}
+    assert {r.k for r in calls.pending(rows, done, "k").collect()} == {3, 4}
+
+
+def test_clip_ids_match_the_library(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["A  cat &amp;amp; a dog", "", None, "word " * 200]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", clip.token_ids(F.col("t"), path).alias("ids")).orderBy("i").collect()
+    marks = [t.token_to_id("<|startoftext|>"), t.token_to_id("<|endoftext|>")]
+    for r, text in zip(got, ["a cat & a dog", "", "", "word " * 200]):
+        own = t.encode(text, add_special_tokens=False).ids[:75]
+        assert list(r.ids) == [marks[0], *own, marks[1]] + [0] * (75 - len(own))
