@@ -142,5 +142,40 @@ FROM p LEFT JOIN m ON p.page_id = m.page_id
 """
 
 
+#: Smallest vertex that each linked one reaches, from links (a, b) in both directions.
+REACHED = "r AS (SELECT a AS id, b AS m FROM l UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.m), c AS (SELECT id, min(least(id, m)) AS component_id FROM r GROUP BY id)"
+
+OP5_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 2 THEN w ELSE w[i:i + 1] END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+h AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+l AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+{REACHED}
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, d.doc_id = coalesce(c.component_id, d.doc_id) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_id
+"""
+
+OP6_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT h, min(doc_id) AS first FROM v GROUP BY h),
+g AS (SELECT doc_id, i FROM v JOIN f ON f.h = v.h WHERE first < doc_id),
+x AS (SELECT DISTINCT doc_id, i + j AS i FROM g, (SELECT unnest(range(0, 50)) AS j)),
+k AS (SELECT a.doc_id, string_agg(a.t, ' ' ORDER BY a.i) AS t, count(*) AS n FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS t FROM d) a ANTI JOIN x ON x.doc_id = a.doc_id AND x.i = a.i GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+OP7_SQL = f"""
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (SELECT vec_id, list_transform(x, lambda y: y / sqrt(list_inner_product(x, x))) AS v FROM e WHERE x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND list_inner_product(x, x) > 0),
+l AS (SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.vec_id <> q.vec_id AND list_inner_product(p.v, q.v) >= 0.9),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY 1),
+{REACHED}
+SELECT vec_id, coalesce(k.n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept FROM e LEFT JOIN k ON k.a = vec_id LEFT JOIN c ON c.id = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op4_url_filter": OP4_SQL}
+    return {"op1_warc": OP1_SQL, "op4_url_filter": OP4_SQL, "op5_minhash_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_epsilon_join": OP7_SQL}

@@ -81,7 +81,8 @@ def test_language_stage_on_odd_rows(spark):
 def test_sql(name, spark):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
-    c.sql("create view pages as select * from '/root/testdata/sf0.01/pages.parquet'")
+    for t in ("pages", "documents", "embeddings"):
+        c.sql(f"create view {t} as select * from '/root/testdata/sf0.01/{t}.parquet'")
     rel = c.sql(queries.oracle_sql()[name])
     df = queries.queries()[name](spark, "/root/testdata/sf0.01")
     names = sorted(df.columns)

@@ -150,3 +150,38 @@ def test_op3_scores_are_calibrated(spark):
     right = sum(r.lang == r.lang_pred for r in got) / len(got)
     assert right >= 0.99 and sum(not r.accepted for r in got) / len(got) <= 0.01
     assert abs(sum(r.score for r in got) / len(got) - right) < 0.03
+
+
+def test_texts_beyond_a_slice_and_a_batch(spark):
+    """Two texts of some 9 MB that differ in a few words, beside short ones, through the operators that slice."""
+    from medlake.llm import language_id, minhash_dedup, order_minhash, substring_dedup, token_counts
+    from medlake.plans.shared import small_batches
+
+    r = np.random.default_rng(2)
+    words = [f"{i:05d}x" for i in r.integers(0, 90_000, 1_250_000)]
+    other = words[:]
+    changed = sorted(r.choice(len(words), 40, replace=False).tolist())
+    for i in changed:
+        other[i] = "changed"
+    assert min(np.diff(changed)) > 50 and changed[0] > 50 and len(words) - changed[-1] > 50
+    rows = [(1, "a short text", "en", "s"), (2, " ".join(words), "en", "s"), (3, " ".join(other), "en", "s"), (4, "another short text", "en", None)]
+    small_batches(spark)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2)
+    assert {x.doc_id: x.component_id for x in minhash_dedup.near_duplicates(df, shingle=2).collect()} == {1: 1, 2: 2, 3: 2, 4: 4}
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_text) for x in substring_dedup.remove_repeats(df).collect()}
+    assert got[2][1] == 0 and got[3] == (len(words), len(words) - 40, " ".join(["changed"] * 40)) and got[4][1] == 0
+    model = language_id.fit([x[1][:2000] for x in rows], ["en", "de", "de", "en"])
+    assert {x.doc_id: x.lang_pred for x in language_id.predict(df, model).collect()} == {1: "en", 2: "de", 3: "de", 4: "en"}
+    f = {x.doc_id: x for x in order_minhash.compare_edits(df, ranges=2).collect()}
+    assert f[2].near_next > 0.9 and f[2].n_chars == len(rows[1][1]) and 0.2 < f[2].near_edited <= 1
+    tokens = {x.doc_id: x.n for x in token_counts.section_tokens(df, P.path("byte_bpe_50k.json"), ["source", "text"]).groupBy("doc_id").agg({"n_bytes": "sum"}).withColumnRenamed("sum(n_bytes)", "n").collect()}
+    assert tokens[2] == len(rows[1][1]) + 2 and tokens[4] == len(rows[3][1]) + 1
+
+
+def test_op7_ignores_columns_named_as_its_own(spark):
+    from medlake.llm import epsilon_join
+
+    names = "vec_id long, embedding array<float>, id string, unit int, n int, cell int, block int, leaf int, side int, component_id int"
+    rows = [(i, [1.0, i / 100, 0.0], "z", *range(7)) for i in range(30)] + [(None, [1.0, 0.0, 0.0], "z", *range(7))]
+    got = epsilon_join.near_vectors(spark.createDataFrame(rows, names)).collect()
+    assert len(got) == 31 and {r.component_id for r in got} == {0, None} and all(r.n_links == (29 if r.vec_id is not None else 0) for r in got)
