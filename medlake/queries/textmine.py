@@ -97,13 +97,23 @@ def clean_length_stats(spark, sf):
     return rounded(d.groupBy("lang").agg(F.avg("a").alias("before"), F.avg("b").alias("after"), (100.0 * (1 - F.sum("b") / F.sum("a"))).alias("reduction_pct")))
 
 
-@query("clean_report")
+_report = "'FINDINGS: clear. IMPRESSION: ' || text || '. Please call. Electronically signed by X'"
+_put = ["'(?m)^[ \\t]*[0-9]+[.)][ \\t]+', ''", "'[*]+', ''", "'\\b[A-Z][a-zA-Z \\t\\r\\n]*:[ \\t\\r\\n]*', ''", "'(?m)^[ \\t]*[-\u2022][ \\t]+', ''"]
+_body = "CASE WHEN instr(lower(c), 'impression:') > 0 THEN substr(c, instr(lower(c), 'impression:') + 11) WHEN instr(lower(c), 'findings:') > 0 THEN substr(c, instr(lower(c), 'findings:') + 9) ELSE c END"
+for _p in _put:
+    _body = f"regexp_replace({_body}, {_p}, 'g')"
+
+
+@query("clean_report", f"""WITH t AS (SELECT doc_id, {_report} AS c FROM documents), b AS (SELECT doc_id, c, regexp_replace({SQUEEZE.format(_body)}, '(?i)(electronically signed|dictated by|report signed).*$', '', 'g') AS b FROM t),
+ p AS (SELECT doc_id, c, list_filter(list_transform(string_split(b, '.'), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(lower(x), 'discussed with|telephone|please call')) AS p FROM b), q AS (SELECT doc_id, c, p, list_transform(p, lambda x: lower(x)) AS l FROM p)
+ SELECT doc_id, CASE WHEN c IS NULL OR trim(c) = '' THEN c WHEN len(p) = 0 THEN {SQUEEZE.format('c')} ELSE array_to_string(list_filter(p, lambda x, i: list_position(l, lower(x)) = i), '. ') || '.' END AS cleaned FROM q""")
 def clean_report(spark, sf):
     t = F.concat(F.lit("FINDINGS: clear. IMPRESSION: "), "text", F.lit(". Please call. Electronically signed by X"))
     return table(spark, sf, "documents").select("doc_id", tx.clean_report(t).alias("cleaned"))
 
 
-@query("drop_sections")
+@query("drop_sections", f"""WITH t AS (SELECT doc_id, 'Note. Technique: helical scan.' || chr(10) || 'Findings: ' || text || chr(10) || 'Comparison Study: none' AS t FROM documents),
+ p AS (SELECT doc_id, string_split(regexp_replace(t, '(?m)((?:^|[.\\n])[ \\t]*)([A-Z][A-Za-z]*(?: [A-Za-z]+){{0,4}}[ \\t]*:)', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS p FROM t), k AS (SELECT doc_id, array_to_string(list_filter(p, lambda x, i: i = 1 OR NOT regexp_matches(split_part(x, ':', 1), '(?i)(technique|comparison)')), '') AS k FROM p) SELECT doc_id, {SQUEEZE.format('k')} AS kept FROM k""")
 def drop_sections(spark, sf):
     t = F.concat(F.lit("Note. Technique: helical scan.\nFindings: "), "text", F.lit("\nComparison Study: none"))
     return table(spark, sf, "documents").select("doc_id", tx.drop_sections(t, ["technique", "comparison"]).alias("kept"))

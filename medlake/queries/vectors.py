@@ -220,7 +220,14 @@ def hop_distance_stats(spark, sf):
     return rounded(walked(spark, sf).groupBy("source").agg(F.count("*").alias("n"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.stddev_samp("hops").alias("sd")))
 
 
-@query("phrase_grounding")
+WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+
+
+@query("phrase_grounding", f"""WITH z AS (SELECT n_name AS term, n_nationkey AS node FROM nation UNION ALL SELECT r_name, r_regionkey + 1000 FROM region), t AS (SELECT array_to_string({WORDS.format('term')}, ' ') AS gram, min(node) AS node FROM z GROUP BY 1 HAVING count(DISTINCT node) = 1),
+ p AS (SELECT n_nationkey * 2 AS phrase_id, {WORDS.format('n_name')} AS w FROM nation UNION ALL SELECT n_nationkey * 2 + 1, {WORDS.format("'goods from ' || n_name")} FROM nation), a AS (SELECT phrase_id, w, unnest(range(0, len(w))) AS s FROM p), b AS (SELECT phrase_id, w, s, unnest(range(s + 1, len(w) + 1)) AS e FROM a),
+ h AS (SELECT phrase_id, len(w) AS size, s, e, node FROM b JOIN t ON gram = array_to_string(w[s + 1:e], ' ')), m AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.phrase_id = h.phrase_id AND o.s <= h.s AND o.e >= h.e AND o.e - o.s > h.e - h.s)),
+ g AS (SELECT phrase_id, count(DISTINCT node) AS nodes, min(node) AS node, max(e - s) AS longest, any_value(size) AS size FROM m GROUP BY 1), o AS (SELECT p.phrase_id, g.node, CASE WHEN nodes IS NULL THEN 'no_term' WHEN nodes > 1 THEN 'several_nodes' WHEN longest >= 2 OR size = 1 THEN 'grounded' ELSE 'unsafe_single_token' END AS outcome FROM p LEFT JOIN g USING (phrase_id))
+ SELECT phrase_id, outcome, CASE WHEN outcome = 'grounded' THEN node END AS node FROM o""")
 def phrase_grounding(spark, sf):
     terms = table(spark, sf, "nation").select(F.col("n_name").alias("term"), F.col("n_nationkey").alias("node")).union(table(spark, sf, "region").select("r_name", (F.col("r_regionkey") + 1000)))
     phrases = table(spark, sf, "nation").select((F.col("n_nationkey") * 2).alias("phrase_id"), F.col("n_name").alias("phrase")).union(table(spark, sf, "nation").select((F.col("n_nationkey") * 2 + 1), F.concat(F.lit("goods from "), "n_name")))
@@ -233,10 +240,20 @@ def linear_probe(spark, sf):
     return rounded(ml.probe(z, "z"), 4).select("intercept", F.size("coefficients").alias("n"))
 
 
-@query("pca_scores")
+@query("pca_scores", f"WITH {E}, {N}, m AS (SELECT i, avg(v[i]) AS m FROM n, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1), x AS (SELECT vec_id, sum((v[i] - m) * (v[i] - m)) AS energy FROM n, m GROUP BY 1) SELECT vec_id, round(energy, 6) AS energy, true AS falling FROM x")
 def pca_scores(spark, sf):
-    p = ml.pca(unit(spark, sf), "v", 2, "p")
-    return rounded(p.select("vec_id", F.abs(F.get("p", F.lit(0))).alias("pc1"), F.abs(F.get("p", F.lit(1))).alias("pc2")), 4)
+    """Scores on all components keep each vector's distance from the mean, and fall in variance."""
+    from pyspark.sql import Window
+
+    p = ml.pca(unit(spark, sf), "v", 64, "p").select("vec_id", "p")
+    var = p.select(F.posexplode("p").alias("i", "x")).groupBy("i").agg(F.sum(F.col("x") * F.col("x")).alias("s"))
+    rises = var.withColumn("next", F.lead("s").over(Window.orderBy("i"))).agg(F.coalesce(F.bool_and(F.col("s") + 1e-9 >= F.col("next")), F.lit(True)).alias("falling"))  # one row a component
+    return rounded(p.select("vec_id", dot("p", "p").alias("energy")).crossJoin(F.broadcast(rises)))  # one row
+
+
+@query("rand_index", "WITH q AS (SELECT label AS a, vec_id % 7 AS b, count(*) AS n FROM embeddings GROUP BY 1, 2), x AS (SELECT sum(n * (n - 1) / 2) AS ij, CAST(sum(n) AS DOUBLE) AS t FROM q), y AS (SELECT sum(n * (n - 1) / 2) AS a FROM (SELECT a, sum(n) AS n FROM q GROUP BY 1)), z AS (SELECT sum(n * (n - 1) / 2) AS b FROM (SELECT b, sum(n) AS n FROM q GROUP BY 1)) SELECT round((ij - a * b / (t * (t - 1) / 2)) / ((a + b) / 2 - a * b / (t * (t - 1) / 2)), 6) AS ari FROM x, y, z")
+def rand_index(spark, sf):
+    return rounded(ml.adjusted_rand(table(spark, sf, "embeddings").withColumn("cluster", F.col("vec_id") % 7), "label", "cluster"))
 
 
 @query("cluster_agreement")
