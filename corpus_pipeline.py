@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medlake.llm import language_id, minhash_dedup, packing, substring_dedup
-from medlake.plans.shared import materialize, small_batches
+from medlake.plans.shared import discard, materialize, scratch, small_batches
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another; a stage's working tables and its input go when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch() as hand_over:
+            done = materialize(stage(spark, docs, sf_dir), name)
+            hand_over(done)
+        discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
