@@ -304,10 +304,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                     yield _batch(WINDOWS, [(part, chunk, _pack_sorted(v), _pack(others[here]), _pack(own[here]))])
                     done += len(v)
 
+    hits, copies = hits.hint("merge"), copies.hint("merge")  # both grow with the input: the plan is the same at every size
     known = stored.join(hits, "chunk", "left").join(copies, "chunk", "left")
     sent = known.mapInArrow(tidy(windows), WINDOWS)
     found = sent.repartition("part").sortWithinPartitions("part", "chunk").mapInArrow(tidy(_firsts), "chunk long, part int, bits binary")
-    firsts = materialize(_replies(found, "firsts"), "firsts")
+    firsts = materialize(_replies(found, "firsts"), "firsts").hint("merge")
 
     out_schema = T.StructType.fromDDL("id long, n_words long, n_removed long, kept_text string")
     for c in carry:
