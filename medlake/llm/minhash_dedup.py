@@ -252,7 +252,7 @@ def _open_rows(groups: DataFrame, reps: DataFrame, comp: DataFrame, cut: float)
 
 def _open_links(rows: DataFrame, tables: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components in each hub's group, on full sets; one for a row and component."""
-    sizes = tables.select("id", F.octet_length("shingles").alias("w"))
+    sizes = tables.select("id", F.greatest(F.octet_length("shingles"), F.lit(BLOCK_BYTES // BLOCK_ROWS)).alias("w"))  # blocks of few rows, too
     full = rows.join(sizes, "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     dealt = _dealt(_blocks(full, "w", BLOCK_BYTES, 2).join(tables, "id").select("hub", "bi", "bj", "block", "id", "component", "shingles"))
 
