@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medlake.llm.words import tidy
+from medlake.llm.words import Memo, tidy
 
 MARK = "▁"
 #: Units in the younger of two generations of the memo; the older one holds as many.
@@ -69,8 +69,7 @@ class Codec:
         self.alone: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
         self.shift = size.bit_length()
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.memo = Memo(self.unit_bytes, MEMO)
         self.unit = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
         self.raw = [b""] * size
         for i, t in self.piece.items():
@@ -141,26 +140,14 @@ class Codec:
 
     def unit_bytes(self, unit: str) -> bytes:
         """The unit's ids as little-endian int32."""
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
         return pack(self.unit_ids(unit))
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text and the end id, as little-endian int32; a long text goes unit by unit, some at a time."""
-        end = np.array([self.eos], "<i4").tobytes()
-        if not text:
-            return end
-        units = self.unit(MARK + text.replace(" ", MARK))
-        return b"".join(b"".join(self._units(units[s : s + MEMO // 4])) for s in range(0, len(units), MEMO // 4)) + end
-
-    def _units(self, units: list[str]) -> Iterator[bytes]:
-        if len(self.memo) > MEMO:
-            self.older, self.memo = self.memo, {}
-        if len(self.pairs) > PAIRS:
-            self.pairs.clear()
-        memo, older = self.memo, self.older
-        long = {}
-        for u in set(units).difference(memo):
-            (memo if len(u) < 64 else long)[u] = older.get(u) or self.unit_bytes(u)
-        return map(memo.__getitem__ if not long else lambda u: memo[u] if u in memo else long[u], units)
+        """Ids of a text and the end id, as little-endian int32."""
+        end = pack([self.eos])
+        return b"".join(map(self.memo.__getitem__, self.unit(MARK + text.replace(" ", MARK)))) + end if text else end
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; control ids have none, the mark before the first word goes.

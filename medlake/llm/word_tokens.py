@@ -17,6 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from medlake.llm.words import Memo
+
 #: The letters that lower-casing and composition leave as they are, and the word pattern of the file.
 PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-įı-ſ]*")
 WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ſ]+")
@@ -51,9 +53,8 @@ class WordIds:
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.alphabet = byte_alphabet()
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.odd: dict[str, bytes] = {}
+        self.memo = Memo(self._word, MEMO)
+        self.odd = Memo(self._library, MEMO // 8)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -71,16 +72,10 @@ class WordIds:
         return ids.tobytes()
 
     def _plain(self, text: str) -> bytes:
-        words, memo, older = self.WORDS.findall(self._prepared(text)), self.memo, self.older
-        long = {}
-        for w in set(words).difference(memo):
-            (memo if len(w) < 64 else long)[w] = older.get(w) or self._word(w)
-        return b"".join(map(memo.__getitem__ if not long else lambda w: memo[w] if w in memo else long[w], words))
+        return b"".join(map(self.memo.__getitem__, self.WORDS.findall(self._prepared(text))))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > MEMO:
-            self.older, self.memo = self.memo, {}
         if any(s in text for s in self.special):
             return self._library(text)
         if PLAIN.fullmatch(text):
@@ -88,20 +83,7 @@ class WordIds:
         return self._mixed(text)
 
     def _mixed(self, text: str) -> bytes:
-        out = []
-        for chunk in SPACES.split(text):
-            if PLAIN.fullmatch(chunk):
-                out.append(self._plain(chunk))
-            else:
-                got = self.odd.get(chunk)
-                if got is None:
-                    got = self._library(chunk)
-                    if len(chunk) < 64:
-                        if len(self.odd) > MEMO // 8:
-                            self.odd.clear()
-                        self.odd[chunk] = got
-                out.append(got)
-        return b"".join(out)
+        return b"".join(self._plain(chunk) if PLAIN.fullmatch(chunk) else self.odd[chunk] for chunk in SPACES.split(text))
 
 
 @lru_cache(maxsize=2)

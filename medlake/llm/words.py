@@ -126,6 +126,25 @@ def digests(rows: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
+class Memo(dict):
+    """Results of ``make`` for short strings, in two generations of ``most`` each: the older one goes when the younger is full."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) < 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 def tidy(work: Callable) -> Callable:
     """A function over batches that hands freed memory back when its task ends, as workers live on."""
 
