@@ -2,8 +2,8 @@
 
 Unit vectors with cosine of at least c lie within epsilon = sqrt(2 - 2c) of each other.
 They are centred and turned to as many principal axes as hold most of their variance,
-and sorted by the epsilon-wide grid cells of these axes, first axis first.  Ranges of
-this sequence are blocks, and short runs inside them leaves, each with a box around its
+and sorted by the epsilon-wide grid cells of these axes, first axis first, then by their
+halves, quarters and eighths.  Ranges of this sequence are blocks, and short runs inside them leaves, each with a box around its
 vectors; the length of what the axes leave out counts as one more axis, as two such
 lengths differ by no more than the vectors do.
 
@@ -36,7 +36,9 @@ from medlake.llm.words import tidy
 from medlake.plans.shared import discard, materialize, scratch
 
 #: Share of the variance that the axes hold, and the most of them; vectors in a box, in a product, and in a block.
-SHARE, AXES, LEAF, PRODUCT, BLOCK = 0.9, 16, 64, 256, 8192
+SHARE, AXES, LEAF, PRODUCT, BLOCK = 0.9, 16, 16, 256, 8192
+#: Grid cells are told apart by ever finer ones, all axes at a time, so that neighbours in the sequence stay close.
+FINER = (1, 2, 4, 8)
 SLACK = 1e-9
 Batches = Iterator[pa.RecordBatch]
 
@@ -116,11 +118,12 @@ def _placed(classes: DataFrame, f: Frame, eps: float) -> DataFrame:
     def work(batches: Batches) -> Batches:
         for batch in batches:
             if batch.num_rows:
-                cells = np.floor(f.place(_matrix(batch.column(1)))[:, :k] / eps).astype(np.int32)
-                at = pa.array(np.arange(len(cells) + 1, dtype=np.int32) * k)
+                lead = f.place(_matrix(batch.column(1)))[:, :k] / eps
+                cells = np.hstack([np.floor(lead * finer) for finer in FINER]).clip(-(2**15), 2**15 - 1).astype(np.int16)
+                at = pa.array(np.arange(len(cells) + 1, dtype=np.int32) * (k * len(FINER)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(at, pa.array(cells.reshape(-1)))], names=["id", "unit", "n", "cell"])
 
-    return classes.select("id", "unit", "n").mapInArrow(work, "id long, unit binary, n long, cell array<int>")
+    return classes.select("id", "unit", "n").mapInArrow(work, "id long, unit binary, n long, cell array<smallint>")
 
 
 def _apart(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray, eps: float) -> bool:
