@@ -170,8 +170,12 @@ def test_texts_beyond_a_slice_and_a_batch(spark):
     assert {x.doc_id: x.component_id for x in minhash_dedup.near_duplicates(df, shingle=2).collect()} == {1: 1, 2: 2, 3: 2, 4: 4}
     got = {x.doc_id: (x.n_words, x.n_removed, x.kept_text) for x in substring_dedup.remove_repeats(df).collect()}
     assert got[2][1] == 0 and got[3] == (len(words), len(words) - 40, " ".join(["changed"] * 40)) and got[4][1] == 0
-    model = language_id.fit([x[1][:2000] for x in rows], ["en", "de", "de", "en"])
-    assert {x.doc_id: x.lang_pred for x in language_id.predict(df, model).collect()} == {1: "en", 2: "de", 3: "de", 4: "en"}
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    model = language_id.train(docs)
+    french = " ".join(x.text for x in docs.where("lang = 'fr' and length(text) > 200").collect())
+    long = spark.createDataFrame([(1, french * (9_000_000 // len(french))), (2, french)], "doc_id long, text string")
+    found = {x.doc_id: (x.lang_pred, round(x.score, 3)) for x in language_id.predict(long, model).collect()}
+    assert found[1] == found[2] and found[1][0] == "fr"
     f = {x.doc_id: x for x in order_minhash.compare_edits(df, ranges=2).collect()}
     assert f[2].near_next > 0.9 and f[2].n_chars == len(rows[1][1]) and 0.2 < f[2].near_edited <= 1
     tokens = {x.doc_id: x.n for x in token_counts.section_tokens(df, P.path("byte_bpe_50k.json"), ["source", "text"]).groupBy("doc_id").agg({"n_bytes": "sum"}).withColumnRenamed("sum(n_bytes)", "n").collect()}
