@@ -2,11 +2,13 @@
 
 import gzip
 import math
+import os
 import plistlib
 import struct
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -322,3 +324,49 @@ def test_clip_ids_match_the_library(spark):
     for r, text in zip(got, ["a cat & a dog", "", "", "word " * 200]):
         own = t.encode(text, add_special_tokens=False).ids[:75]
         assert list(r.ids) == [marks[0], *own, marks[1]] + [0] * (75 - len(own))
+
+
+def test_clip_ids_of_long_and_odd_texts(spark, tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    words, other = public.path("word_bpe_49k.json"), public.path("byte_bpe_50k.json")
+    glued = str(tmp_path / "glued.json")  # a file whose tokens reach across blanks
+    t = Tokenizer.from_file(words)
+    t.pre_tokenizer = Tokenizer.from_file(other).pre_tokenizer
+    t.save(glued)
+    rare = ["é ́e", "ΣΣ Σ. Σ", "가 각", "<|startoftext|> <|endoftext|>a <|end oftext|>", "x&amp;nbsp;y", "it's 'S ' s", "12 ٣½", "中。中", "\x1c᠎ ​﻿"]
+    texts = [*(r * n for r in rare for n in (1, 40)), " ".join(rare * 20), "a" * 5000, "1" * 75, "1" * 76, "1 " * 75, "1 " * 74 + "a"]
+    for path in (words, glued):
+        t = Tokenizer.from_file(path)
+        for context in (2, 3, 77):
+            got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select(clip.token_ids(F.col("t"), path, context).alias("ids")).coalesce(1)
+            ids = sorted(tuple(r.ids) for r in got.collect())
+            own = [t.encode(clip.clean_text(x), add_special_tokens=False).ids[: context - 2] for x in texts]
+            assert ids == sorted((49406, *x, 49407, *[0] * (context - 2 - len(x))) for x in own)
+
+
+def test_clip_ids_hold_one_text_at_a_time(spark):
+    public = pytest.importorskip("public_tokenizers")
+    if not os.access("/proc/self/clear_refs", os.W_OK):
+        pytest.skip("peaks of memory can't be reset here")
+
+    def held(name: str) -> int:
+        with open("/proc/self/status") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith(name)) // 1024
+
+    @F.arrow_udf("string")
+    def begin(rows: pa.Array) -> pa.Array:
+        with open("/proc/self/clear_refs", "w") as f:
+            f.write("5")  # the peak counts from here
+        os.environ["HELD"] = str(held("VmRSS"))
+        return rows
+
+    @F.arrow_udf("long")
+    def more(ids: pa.Array) -> pa.Array:
+        return pa.array([held("VmHWM") - int(os.environ["HELD"])] * len(ids), pa.int64())
+
+    text = F.repeat(F.concat(F.lit("word"), F.col("id").cast("string"), F.lit(" of a report ")), 500)
+    rows = spark.range(0, 3000, 1, 1).select(text.alias("t"))  # one batch of 28 MB
+    path = public.path("word_bpe_49k.json")
+    assert rows.select(more(clip.token_ids(begin("t"), path)).alias("mb")).agg(F.max("mb")).first()[0] < 250
